@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,42 +22,100 @@ from .common import stored, tune
 
 TOKENS = "doc_id long, part int, at long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_CACHE_WORDS = 120_000
+_TAIL = ".,;:!?|)*$%&#"
+_CHUNK_BYTES = 8 << 20
+# letters up to U+00FF: composed already, and each has a lower case of its own
+_LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
 
-class WordTokens(dict):
-    """Ids of a text by its space-separated words, as little-endian 32-bit bytes.
+class WordTokens:
+    """Ids of texts by their distinct space-separated words.
 
     The tokenizer splits at white space and drops it, and its lower-casing looks at single characters, so
     the ids of a text are those of its words in turn.  Texts that hold a special token's mark are not split.
+    Each distinct word of a chunk of texts is encoded once, as a stem of letters and a tail of punctuation,
+    which are separate pieces for the tokenizer.  Stems are encoded in one call and told apart by the ids
+    that end a word; Latin stems need neither the normalizer nor the pattern, so they go in lower case to
+    a copy of the tokenizer without them.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > _CACHE_WORDS:
-            self.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if any(m in text for m in self.marks):
-            return self.whole(text)
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.__getitem__, words))
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def letters(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters alone, and the number of each word's."""
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(words) and (not len(ends) or ends[-1] == len(ids)):
+            return ids, np.diff(np.concatenate([[0], ends]))
+        return self.each(words)
+
+    def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.whole(w) for w in words]
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def pieces(self, words: pa.Array, extra: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """Of distinct words: all pieces' ids and sizes, each word's stem and tail as pieces, and the number of the
+        end id's piece, which the pieces of ``extra`` follow.  The piece before it is empty."""
+        stems = pc.ascii_rtrim(words, _TAIL)
+        latin = pc.match_substring_regex(stems, _LATIN).to_numpy(zero_copy_only=False)
+        coded = pc.if_else(pa.array(latin), pc.utf8_lower(stems), None).dictionary_encode()
+        stem = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, sizes = self.letters(coded.dictionary.to_pylist(), self.plain)
+        rest = np.flatnonzero(~latin)
+        names, roots = words.take(pa.array(rest)).to_pylist(), stems.take(pa.array(rest)).to_pylist()
+        letters: dict[str, int] = {}
+        odd: dict[str, int] = {}
+        tails: dict[str, int] = {}
+        other = [(0, letters.setdefault(r, len(letters))) if r.isalpha() else (1, odd.setdefault(w, len(odd))) for w, r in zip(names, roots)]
+        cut = pc.binary_length(stems).to_numpy(zero_copy_only=False)
+        long = np.flatnonzero((cut < pc.binary_length(words).to_numpy(zero_copy_only=False)))
+        tail_of = [tails.setdefault(w[len(s) :], len(tails)) for w, s in zip(words.take(pa.array(long)).to_pylist(), stems.take(pa.array(long)).to_pylist())]
+        parts = [(ids, sizes), self.letters(list(letters), self.tokenizer), self.each(list(odd)), self.each(list(tails)), (np.array([end_id], "<u4"), np.array([0, 1])), self.each(extra)]
+        base = np.cumsum([0, *(len(n) for _, n in parts)])
+        tail = np.full(len(words), base[4])
+        tail[long] = base[3] + np.array(tail_of, np.int64)
+        for k, (kind, i) in zip(rest.tolist(), other):
+            stem[k] = base[1 + kind] + i
+            if kind:
+                tail[k] = base[4]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts]).astype(np.int64), stem, tail, int(base[4]) + 1
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
+        """The ids of each text with the end id, as little-endian 32-bit bytes, and their number."""
+        texts = pc.fill_null(texts, "")
+        marked = np.zeros(len(texts), bool)
+        for m in self.marks:
+            marked |= pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(~marked), texts, ""), "\n", " "), " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        bounds = offsets - offsets[0]
+        whole = np.flatnonzero(marked).tolist()
+        ids, sizes, stem, tail, end = self.pieces(coded.dictionary, [texts[k].as_py() for k in whole], end_id)
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        index = np.stack([stem[index], tail[index]], axis=1).ravel()
+        # a marked text was split as one empty word
+        index[2 * bounds[whole]] = end + 1 + np.arange(len(whole))
+        index = np.insert(index, 2 * bounds[1:], end)
+        lengths = sizes[index]
+        reach = np.cumsum(lengths)
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[index] - (reach - lengths), lengths) + np.arange(int(reach[-1]))]
+        stops = reach[2 * bounds[1:] + np.arange(len(texts))]
+        n = np.diff(np.concatenate([[0], stops]))
+        raw = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * np.concatenate([[0], stops])).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+        return raw, n
 
 
 _TOKENIZERS: dict[str, WordTokens] = {}
@@ -68,22 +127,18 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _TOKENIZERS:
             _TOKENIZERS[tokenizer_path] = WordTokens(tokenizer_path)
-        tok, end = _TOKENIZERS[tokenizer_path], np.array([end_id], "<u4").tobytes()
+        tok = _TOKENIZERS[tokenizer_path]
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                sub = batch.slice(a, 200)
-                texts = [t or "" for t in sub.column(1).to_pylist()]
-                new = {w for t in texts for w in t.replace("\n", " ").split(" ")}
-                if not any(m in t for t in texts for m in tok.marks) and len(new) <= _CACHE_WORDS:
-                    tok.learn(new)
-                ids = [tok.encode(t) + end for t in texts]
-                n = [len(x) // 4 for x in ids]
-                starts = np.cumsum([at, *n])
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            chunk = np.cumsum(sizes, dtype=np.int64) // _CHUNK_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for a, b in zip(cuts, cuts[1:]):
+                sub = batch.slice(a, b - a)
+                ids, n = tok.encode(sub.column(1), end_id)
+                starts = np.cumsum(np.concatenate([[at], n]))
                 at = int(starts[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [sub.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(starts[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "part", "at", "n", "ids"]
-                )
+                yield pa.RecordBatch.from_arrays([sub.column(0), pa.array(np.full(b - a, part, np.int32)), pa.array(starts[:-1]), pa.array(n), ids], names=["doc_id", "part", "at", "n", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, TOKENS)
 
