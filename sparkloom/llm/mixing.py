@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 ROWS_PER_BUCKET = 4096
@@ -73,6 +75,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, seed: str = "
     an empty result.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = stored(rows, "mix-sizes")  # the texts are read once; several steps need the sizes
     taken = _taken(rows, share, cap, seed)
     out = taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
@@ -106,6 +109,7 @@ def _taken(rows: DataFrame, share: float, cap: int, seed: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with its columns."""
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = stored(rows, "mix-sizes")
     # rows that agree in id, source and size are numbered on both sides
     counted = _taken(rows, share, cap, seed).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies")))).filter("copies > 0")
     left = docs.withColumn("_size", word_count(F.col("text")))
