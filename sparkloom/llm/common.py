@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 12 << 20
 BLOCK_SCHEMA = "block long, n_docs int, ids binary, nulls binary, lens binary, payload binary"
 
