@@ -189,3 +189,14 @@ def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
     rows = buckets.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     open_keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     return stored(rows.join(open_keys, "key", "left_semi"), "minmax-open")
+
+
+def keep_one(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``near_duplicates`` does not keep.
+
+    Rows that repeat an id stay or go together.  Rows with a null id stay.
+    """
+    groups = near_duplicates(docs, percent, width, id_col, text_col)
+    gone = stored(groups.filter(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "minmax-gone")
+    rest = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return rest.select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed, exact, lm, minmax, mixing, packing, substring, suffix
+from . import embed, exact, lm, minmax, mixing, packing, quality, substring, suffix, toxicity
 from .common import read
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(read(spark, sf_dir, "documents"), order=2, folds=10, fold=0)
 
@@ -28,6 +32,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.embedding_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.7, folds=3, fold=1)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end_id=1)
 
@@ -50,7 +58,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_lm_scoring, op3_substring_dedup, op4_embedding_dedup, op6_packing, op7_minmax_dedup, op8_mixing, op9_exact_dedup, op10_suffix_dedup)
+    for f in (op1_quality, op2_lm_scoring, op3_substring_dedup, op4_embedding_dedup, op5_toxicity, op6_packing, op7_minmax_dedup, op8_mixing, op9_exact_dedup, op10_suffix_dedup)
 }
 
 ORACLES = {
