@@ -20,11 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, mix, per_block, shards_for, stored, to_blocks, tune, unpack, with_replies, word_hashes
+from .common import cut, mix, per_block, shards_for, stored, to_blocks, tune, unpack, with_replies, word_hashes
 
 ASK = "shard int, ord int, block long, n int, keys binary, counts binary, tokens long"
-GOT = "block long, shard int, ord int, n int, counts binary, distinct long"
+GOT = "block long, shard int, ord int, n int, counts binary, distinct long, tokens long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_BLOCK_BYTES = 4 << 20  # larger blocks ask less often for what they share
 _START, _END = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -68,11 +69,26 @@ def _asks(row, order: int, folds: int, fold: int, n_shards: int) -> list[dict]:
         tokens = int((trained & (since > 0)).sum()) if k == 1 else 0
         for s, (a, b) in enumerate(zip(at[:-1], at[1:])):
             if b > a:
-                out.append({"shard": s, "ord": k, "block": int(row.block), "n": int(b - a), "keys": keys[a:b].tobytes(), "counts": _small(seen[a:b]), "tokens": tokens})
+                out.append({"shard": s, "ord": k, "block": int(row.block), "n": int(b - a), "keys": _packed(keys[a:b]), "counts": _small(seen[a:b]), "tokens": tokens})
                 tokens = 0
     return out
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte: the leading bytes are mostly zero."""
+    import zstandard
+
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    import zstandard
+
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=8 * max(1, n)), np.uint8)
+    return np.cumsum(np.ascontiguousarray(flat.reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _small(counts: np.ndarray) -> bytes:
     import zstandard
 
@@ -88,7 +104,7 @@ def _large(data: bytes, n: int) -> np.ndarray:
 def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
     """A shard's share of the n-grams: the count of each over all blocks, for every block that asked."""
     ns = pdf["n"].to_numpy(np.int64)
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
+    keys = np.concatenate([_unpacked(k, int(n)) for k, n in zip(pdf["keys"], ns)])
     counts = np.concatenate([_large(c, int(n)) for c, n in zip(pdf["counts"], ns)])
     uniq, inverse = np.unique(keys, return_inverse=True)
     total = np.bincount(inverse, weights=counts, minlength=len(uniq)).astype(np.int64)
@@ -97,6 +113,7 @@ def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
     start_key = int(mix(np.array([_START + np.uint64(1)]))[0])
     known = int((total > 0).sum()) - int(((uniq == start_key) & (total > 0)).sum())
     out = pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "ord": pdf["ord"], "n": pdf["n"], "counts": [_small(here[a:b]) for a, b in zip([0, *ends], ends)]})
+    out["tokens"] = pdf["tokens"]
     out["distinct"] = [known if pdf["ord"].iloc[0] == 1 else 0, *[0] * (len(out) - 1)]
     return out
 
@@ -137,16 +154,13 @@ def lm_scores(docs: DataFrame, order: int = 2, prior: float = 4.0, folds: int =
     """
     spark = docs.sparkSession
     tune(spark)
-    blocks = stored(to_blocks(docs, id_col, text_col), "lm-blocks", "none")
+    blocks = stored(to_blocks(docs, id_col, text_col, _BLOCK_BYTES), "lm-blocks", "none")
     size = blocks.agg(F.sum(F.length("payload"))).first()[0] or 0
     n_shards = shards_for(spark, 2 * order * size)
     asked = per_block(blocks, lambda row: _asks(row, order, folds, fold, n_shards), ASK)
+    replies = stored(asked.groupBy("shard", "ord").applyInPandas(_totals, GOT), "lm-counts", "none")
     # the number of trained tokens travels with the first slice of each block
-    asked = stored(asked, "lm-asked", "none")
-    tokens = asked.agg(F.sum("tokens")).first()[0] or 0
-    replies = stored(asked.drop("tokens").groupBy("shard", "ord").applyInPandas(_totals, GOT), "lm-counts", "none")
-    discard(asked)
-    vocabulary = replies.agg(F.sum("distinct")).first()[0] or 0
+    tokens, vocabulary = (x or 0 for x in replies.agg(F.sum("tokens"), F.sum("distinct")).first())
 
     def score(row, got):
         ids, texts = unpack(row)
