@@ -7,9 +7,9 @@ operations per bucket.  The reduced string has a large alphabet, for which bucke
 recursion is by rank doubling over the names that still tie.  ``common_prefixes`` computes the permuted
 LCP array from its irreducible values.
 
-The corpus is cut into shards (blocks of documents).  Only text that can repeat enters a shard's array:
-windows of ``width`` bytes whose anchor, the least hash of their ``SEED``-byte grams, occurs at two places
-of the corpus.  A shard finds the repeats inside it by its suffix array and permuted LCP.  Across shards,
+The corpus is cut into shards (blocks of documents).  Only text that can repeat in a shard enters its
+array: windows of ``width`` bytes whose anchor, the least hash of their grams, is at two places of it.  A
+shard finds the repeats inside it by its suffix array and permuted LCP.  Across shards,
 the runs of windows that share an anchor are compared as wholes, and where an anchor's runs differ
 between shards, window by window.  Each shard sends a run or a window once, however often it holds it.
 """
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPLY, REQUEST, _MULTIPLIERS, answer, bits_of, covered, discard, distinct, mix, per_block, request_rows, rolling, shards_for, stored, to_blocks, tune, unpack, with_replies
+from .common import BLOCK_BYTES, REPLY, REQUEST, _MULTIPLIERS, answer, bits_of, covered, discard, distinct, mix, per_block, request_rows, rolling, shards_for, stored, to_blocks, tune, unpack, with_replies
 
 SEED_SHARE = 0.75
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -228,8 +228,8 @@ def _anchors(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray
     return starts, least, grams
 
 
-def _anchor_keys(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    starts, least, grams = _anchors(data, ends, width)
+def _anchor_keys(starts: np.ndarray, least: np.ndarray, grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct anchors of the windows, and whether an anchor is at two places."""
     if not len(starts):
         return np.zeros((0, 1), np.uint64), np.zeros(0, bool)
     w = width - int(width * SEED_SHARE) + 1
@@ -241,6 +241,13 @@ def _anchor_keys(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.nda
     return keys, twice
 
 
+def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
 def _range_hash(data: np.ndarray, a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
     """Hashes of data[a:b] for each pair."""
     m = np.uint64(_MULTIPLIERS[which])
@@ -300,6 +307,20 @@ def _compare_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "n": 2 * pdf["n"], "bits": [np.packbits(bits[a:b].ravel()).tobytes() for a, b in zip([0, *ends], ends)]})
 
 
+def _repeats_of(data: np.ndarray, at: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Runs (first, last) of the windows that repeat in the text that the windows from ``at`` cover."""
+    if not len(at):
+        return np.zeros((0, 2), np.int64)
+    far = np.concatenate([[True], (np.diff(at) >= width) | (ends[at[1:]] != ends[at[:-1]])])
+    areas = _runs_of(at, far)
+    glued = np.concatenate([x for a, b in areas for x in (data[a : b + width], np.array([_SEPARATOR], np.uint8))])
+    lengths = areas[:, 1] - areas[:, 0] + width + 1
+    origin = np.repeat(areas[:, 0] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(glued))
+    inside = np.arange(len(glued)) + width < np.repeat(np.cumsum(lengths), lengths)
+    local = origin[repeated_starts(glued, width) & inside]
+    return _runs_of(local, np.concatenate([[True], np.diff(local) > 1])) if len(local) else np.zeros((0, 2), np.int64)
+
+
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
 
 
@@ -316,36 +337,30 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     tune(spark)
-    blocks = stored(to_blocks(docs, id_col, text_col), "suffix-blocks", "none")
+    blocks = stored(to_blocks(docs, id_col, text_col, 2 * BLOCK_BYTES), "suffix-blocks", "none")
     size = blocks.agg(F.sum(F.length("payload"))).first()[0] or 0
     n_shards = shards_for(spark, size)
 
     def seeds(row):
         _, _, data, ends = _text(row)
-        keys, twice = _anchor_keys(data, ends, width)
+        keys, twice = _anchor_keys(*_anchors(data, ends, width), width)
         return request_rows(int(row.block), keys, twice, n_shards)
 
     anchors = stored(answer(per_block(blocks, seeds, REQUEST), 1), "suffix-anchors")
 
     def sort_shard(row, replies):
         _, _, data, ends = _text(row)
-        starts, least, _ = _anchors(data, ends, width)
-        keys, _ = _anchor_keys(data, ends, width)
-        hot = keys[bits_of(replies), 0]
-        at = np.minimum(np.searchsorted(hot, least[starts]), max(0, len(hot) - 1))
-        at = starts[hot[at] == least[starts]] if len(hot) else starts[:0]
+        starts, least, grams = _anchors(data, ends, width)
+        keys, twice = _anchor_keys(starts, least, grams, width)
+        del grams
+        hot = bits_of(replies)
+        at = starts[_among(least[starts], keys[hot, 0])]
         if not len(at):
             return []
         gap = np.concatenate([[True], np.diff(at) > 1])
-        far = np.concatenate([[True], (np.diff(at) >= width) | (ends[at[1:]] != ends[at[:-1]])])
-        areas = _runs_of(at, far)
-        pieces = [data[a : b + width] for a, b in areas]
-        glued = np.concatenate([x for p in pieces for x in (p, np.array([_SEPARATOR], np.uint8))])
-        lengths = np.array([len(p) + 1 for p in pieces])
-        origin = np.repeat(areas[:, 0] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(glued))
-        inside = np.arange(len(glued)) + width < np.repeat(np.cumsum(lengths), lengths)
-        local = origin[repeated_starts(glued, width) & inside]
-        own = _runs_of(local, np.concatenate([[True], np.diff(local) > 1])) if len(local) else np.zeros((0, 2), np.int64)
+        # a window repeats inside the shard only if its anchor is at two places of the shard
+        here = at[_among(least[at], keys[hot & twice, 0])]
+        own = _repeats_of(data, here, ends, width)
         runs = _runs_of(at, gap | np.concatenate([[True], least[at[1:]] != least[at[:-1]]]))
         prints = np.stack([least[runs[:, 0]], *(_range_hash(data, runs[:, 0], runs[:, 1] + width, i) for i in (0, 1))], axis=1)
         uniq, _, twice = distinct(prints)
