@@ -5,11 +5,13 @@ values cost 64 hash evaluations a shingle.  Two permutations (four values) make
 of 0.75 the chance that no band of 32 agrees is (1 - 0.75**4)**32, about five in a million.
 
 Documents with equal shingle sets are one class from the start, and only classes are compared.  In a
-bucket (classes that agree in a band) the first comparison is of each class with the bucket's least
-one, the second with another pivot drawn for each bucket; links are confirmed on whole sets and classes
-that are linked already need no comparison.  Last, in the buckets that still hold several components,
-every class outside the bucket's largest component is compared with every class of another component.
-So no candidate is capped or dropped, and a bucket of copies costs a pair per class, not per pair.
+bucket (classes that agree in a band) the first comparison is of each class with the most central one,
+which shares the largest buckets.  Links are confirmed on whole sets, and classes that are linked already
+need no comparison.  Then, in the buckets that still hold several components, every class outside the
+bucket's largest component is compared with every class of another component: first inside the join, by
+four bits of each signature value, and then on whole sets.  The first test passes a pair at a similarity
+of exactly 0.75 with a chance of 0.98 (two deviations), and nearly surely at 0.8.  So no candidate is
+capped, and a bucket of copies costs a pair per class, not per pair.
 """
 
 from __future__ import annotations
@@ -153,29 +155,34 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     tune(docs.sparkSession)
     signed = stored(_signed(docs, width, id_col, text_col), "minmax-signed")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "minmax-classes")
+    classes = stored(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "minmax-classes")
     # ids that stand in several classes (repeated with other texts) tie them together
-    same_id = full.select("doc_id", "fp1", "fp2").distinct().join(classes.drop("sig"), ["fp1", "fp2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same_id = full.select("doc_id", "fp1", "fp2").distinct().join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     banded = _banded(classes)
-    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1").select("key", "pivot")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = stored(banded.join(shared, "key"), "minmax-buckets")
+    # the texts that copies were made from share large buckets in most bands: they are the best pivots
+    central = buckets.groupBy("rep").agg(F.sum("n").alias("weight"))
+    buckets = stored(buckets.join(central, "rep"), "minmax-buckets")
     sets = stored(_sets(docs, classes, buckets.select("rep").distinct(), width, id_col, text_col), "minmax-sets", "none")
 
-    tried = stored(buckets.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "minmax-pairs")
-    links = stored(_confirmed(tried, sets, percent), "minmax-links")
+    rows = buckets.withColumn("component", F.col("rep"))
+    order = F.struct("weight", -F.col("rep"))
+    tried, links = _pivoted(rows, order, None, sets, percent)
     rows = _labelled(buckets, links)
-    pivot = rows.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("b"), F.min_by("component", F.xxhash64("key", "rep")).alias("c"))
-    more = rows.join(pivot, "key").filter("component <> c").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "minmax-pairs")
-    links2 = stored(_confirmed(more, sets, percent), "minmax-links")
-    rows = _labelled(buckets, links.union(links2))
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     major = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
-    minor = rows.join(major, "key").filter("component <> major").select("key", F.col("rep").alias("r"), F.col("component").alias("c"))
-    rest = rows.join(minor, "key").filter("component <> c").select(F.greatest("rep", "r").alias("a"), F.least("rep", "r").alias("b")).distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti")
-    links3 = _confirmed(rest, sets, percent)
-    found = components(links.union(links2).union(links3).union(same_id), "minmax-components")
+    sketched = rows.join(_sketches(classes), "rep").join(major, "key")
+    minor = sketched.filter("component <> major").select("key", F.col("rep").alias("r"), F.col("component").alias("c"), F.col("sketch").alias("other"), F.col("keys").alias("their_keys"), F.col("n_shingles").alias("m"))
+    sketched = sketched.select("key", "rep", "component", "major", "sketch", "keys", "n_shingles")
+    apart = sum((_differing(F.col("sketch")[i], F.col("other")[i]) for i in range(_WORDS)), F.lit(0))
+    on = (sketched["key"] == minor["key"]) & (F.col("component") != F.col("c")) & ((F.col("component") == F.col("major")) | (F.col("rep") > F.col("r")))
+    on = on & (100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m")) & (apart <= _most_apart(percent))
+    # a pair that shares several buckets meets in the least one
+    on = on & (F.array_min(F.array_intersect("keys", "their_keys")) == sketched["key"])
+    rest = sketched.join(minor, on).select(F.greatest("rep", "r").alias("a"), F.least("rep", "r").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.union(_confirmed(rest, sets, percent))
+    found = components(links.union(same_id), "minmax-components")
     named = classes.select("fp1", "fp2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
     out = signed.drop("sig").join(named, ["fp1", "fp2"], "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -183,6 +190,50 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
+def _pivoted(rows: DataFrame, order, tried: DataFrame | None, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each class with its bucket's pivot, the row that is last in ``order``, and those that are links."""
+    pivot = rows.groupBy("key").agg(F.max_by(F.struct("rep", "component"), order).alias("p"))
+    pairs = rows.join(pivot, "key").filter("component <> p.component").select(F.greatest("rep", "p.rep").alias("a"), F.least("rep", "p.rep").alias("b")).distinct()
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = stored(pairs, "minmax-pairs")
+    return pairs, stored(_confirmed(pairs, sets, percent), "minmax-links")
+
+
+_WORDS = 2 * PERMUTATIONS // 16
+
+
+def _sketches(classes: DataFrame) -> DataFrame:
+    """(rep, sketch, keys, n_shingles): four bits of each signature value, sixteen values to a long, and the bucket keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, _WORDS, 16)
+                # the leading bits of a least value are mostly 0 and those of a largest mostly 1: mix first
+                bits = mix(sig.astype(np.uint64)) & np.uint64(15)
+                words = np.bitwise_or.reduce(bits << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+                keys = bands(sig.reshape(batch.num_rows, -1))
+                lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (words, keys)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2)], names=["rep", "sketch", "keys", "n_shingles"])
+
+    return classes.select("rep", "sig", "n_shingles").mapInArrow(run, "rep long, sketch array<long>, keys array<long>, n_shingles long")
+
+
+def _differing(x, y):
+    """How many of the sixteen four-bit values of two longs differ."""
+    d = x.bitwiseXOR(y)
+    d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+    d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+    return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _most_apart(percent: int) -> int:
+    """Values that differ in a pair of that similarity: the mean and two deviations."""
+    n, p = 2 * PERMUTATIONS, (1 - percent / 100) * 15 / 16
+    return int(n * p + 2 * (n * p * (1 - p)) ** 0.5)
+
+
 def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
     """(key, rep, component) of the buckets that hold several components."""
     found = components(links, "minmax-components")
