@@ -1 +1,3 @@
+"""Named queries; importing a module of queries registers them."""
 
+from sparkloom.plans import kv_queries, model_queries, relational_queries  # noqa: F401
