@@ -363,8 +363,8 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
         own = _repeats_of(data, here, ends, width)
         runs = _runs_of(at, gap | np.concatenate([[True], least[at[1:]] != least[at[:-1]]]))
         prints = np.stack([least[runs[:, 0]], *(_range_hash(data, runs[:, 0], runs[:, 1] + width, i) for i in (0, 1))], axis=1)
-        uniq, _, twice = distinct(prints)
-        state = {"shard": -1, "block": int(row.block), "n": len(own), "keys": _ints(own), "flags": _ints(runs)}
+        uniq, place, twice = distinct(prints)
+        state = {"shard": -1, "block": int(row.block), "n": len(own), "keys": _ints(own), "flags": _ints(np.concatenate([runs, place[:, None]], axis=1))}
         return [state, *request_rows(int(row.block), uniq, twice, n_shards)]
 
     sorted_ = stored(with_replies(blocks, anchors, sort_shard, REQUEST), "suffix-shards", "none")
@@ -375,22 +375,20 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
     def step(df: DataFrame, k: int) -> DataFrame:
         return df.selectExpr("block", f"{k} as step", "shard", "n", "bits", "cast(null as binary) as flags")
 
-    def judged(data: np.ndarray, got: pd.DataFrame):
+    def judged(got: pd.DataFrame):
         """Local runs, all runs, and for each run whether it repeats as a whole or must be looked at by windows."""
         head = got[got["step"] == 0]
         if not len(head):
             none = np.zeros((0, 2), np.int64)
             return none, none, np.zeros(0, bool), np.zeros(0, bool)
-        own, runs = (np.frombuffer(head[c].iloc[0], "<i4").reshape(-1, 2).astype(np.int64) for c in ("bits", "flags"))
-        prints = np.stack([_range_hash(data, runs[:, 0], runs[:, 1] + width, i) for i in (0, 1)], axis=1)
-        grams = _run_anchors(data, runs, width)
-        _, inverse, _ = distinct(np.concatenate([grams[:, None], prints], axis=1))
-        bits = bits_of(got[got["step"] == 1]).reshape(-1, 2)[inverse]
-        return own, runs, bits[:, 0], bits[:, 1]
+        own = np.frombuffer(head["bits"].iloc[0], "<i4").reshape(-1, 2).astype(np.int64)
+        runs = np.frombuffer(head["flags"].iloc[0], "<i4").reshape(-1, 3).astype(np.int64)
+        bits = bits_of(got[got["step"] == 1]).reshape(-1, 2)[runs[:, 2]]
+        return own, runs[:, :2], bits[:, 0], bits[:, 1]
 
     def windows(row, got):
         _, _, data, _ = _text(row)
-        _, runs, _, differ = judged(data, got)
+        _, runs, _, differ = judged(got)
         keys, _, twice = distinct(_window_keys(data, runs[differ], width)[1])
         return request_rows(int(row.block), keys, twice, n_shards)
 
@@ -399,7 +397,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
 
     def finish(row, got):
         ids, texts, data, _ = _text(row)
-        own, runs, again, differ = judged(data, got)
+        own, runs, again, differ = judged(got)
         starts, keys = _window_keys(data, runs[differ], width)
         _, inverse, _ = distinct(keys)
         starts = starts[bits_of(got[got["step"] == 2])[inverse]] if len(starts) else starts
@@ -420,16 +418,3 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
 
     out = with_replies(blocks, held.unionByName(step(by_window, 2)), finish, OUT)
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
-
-
-def _run_anchors(data: np.ndarray, runs: np.ndarray, width: int) -> np.ndarray:
-    """The anchor of each run: the least gram hash of its first window."""
-    seed = int(width * SEED_SHARE)
-    out = np.empty(len(runs), np.uint64)
-    for a in range(0, len(runs), 2048):
-        part = runs[a : a + 2048, 0]
-        text = data[part[:, None] + np.arange(width)]
-        grams = rolling(_BYTE[np.concatenate([text.ravel()])], seed)
-        at = np.arange(len(part))[:, None] * width + np.arange(width - seed + 1)
-        out[a : a + 2048] = grams[at].min(axis=1)
-    return out
