@@ -125,7 +125,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, id
                     [sub.column(0), pa.array([x for x, _ in prints], pa.int64()), pa.array([x for _, x in prints], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "fp1", "fp2", "set"]
                 )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text")).join(wanted, "rep", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text")).join(wanted.hint("merge"), "rep", "left_semi")
     return texts.mapInArrow(run, "rep long, fp1 long, fp2 long, set array<long>").join(classes.select("rep", "fp1", "fp2"), ["rep", "fp1", "fp2"], "left_semi").dropDuplicates(["rep", "fp1", "fp2"]).select("rep", "set")
 
 
