@@ -2,7 +2,7 @@
 
 Units are a text's words in lower case without punctuation (also inside, so that ``i.d.i.o.t`` is a
 word), and runs of single letters joined.  The kernel of two units counts their common subsequences of
-three bytes that span at most five, each weighted by LAMBDA for every byte skipped, so inserted and
+three or four bytes that span at most five, each weighted by LAMBDA for every byte skipped, so inserted and
 changed letters cost some of the weight, not all.  Landmarks are units of the training sentences; the
 Nystroem map sends a unit to K^(-1/2) of its kernel values with them, and a linear SVM separates there.
 
@@ -27,7 +27,8 @@ from .columns import chunks, coded_words, logistic, platt, raw, sigmoid
 from .common import tune
 
 LAMBDA = 0.7
-_GAPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a + b <= 4]
+# steps between the bytes of a subsequence: three bytes that span at most five, four that span at most five
+_STEPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a + b <= 4] + [(1, 1, 1), (2, 1, 1), (1, 2, 1), (1, 1, 2)]
 _BITS = 18
 _PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 SAMPLE_ROWS = 5000  # labelled texts that the machine is trained on, at most about this many
@@ -63,16 +64,20 @@ def subsequences(units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(units)), np.diff(at))
     x = data.astype(np.uint32)
     who, what, weight = [], [], []
-    for a, b in _GAPS:
-        n = len(x) - a - b
+    for steps in _STEPS:
+        span = sum(steps)
+        n = len(x) - span
         if n <= 0:
             continue
-        ok = np.flatnonzero(owner[:n] == owner[a + b :])
-        code = (x[ok] * np.uint32(0x9E3779B1) ^ x[ok + a] * np.uint32(0x85EBCA6B) + np.uint32(0x165667B1)) * np.uint32(0xC2B2AE35) + x[ok + a + b] * np.uint32(0x27D4EB2F)
-        code = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        who.append(owner[ok])
-        what.append((code >> np.uint32(32 - _BITS)).astype(np.int64))
-        weight.append(np.full(len(ok), LAMBDA ** (a + b - 2)))
+        at_ = np.flatnonzero(owner[:n] == owner[span:])
+        code, place = np.full(len(at_), len(steps), np.uint32), at_
+        for step in (0, *steps):
+            place = place + step
+            code = (code ^ x[place]) * np.uint32(0x9E3779B1)
+            code ^= code >> np.uint32(15)
+        who.append(owner[at_])
+        what.append((code * np.uint32(0x85EBCA6B) >> np.uint32(32 - _BITS)).astype(np.int64))
+        weight.append(np.full(len(at_), LAMBDA ** (span - len(steps))))
     if not who:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     who, what, weight = np.concatenate(who), np.concatenate(what), np.concatenate(weight)
@@ -119,12 +124,15 @@ def _witnesses(values: np.ndarray, index: np.ndarray, bounds: np.ndarray, floor:
 
 
 def _bent(words: list[str]) -> list[str]:
-    """Words with a letter inserted, left out, or doubled, by a fixed rule."""
+    """Words with a letter inserted, doubled or left out at each inner place, by a fixed rule."""
     out = []
     for w in words:
         if len(w) >= 5:
-            k = 1 + zlib.crc32(w.encode()) % (len(w) - 2)
-            out += [w[:k] + "x" + w[k:], w[:k] + w[k] + w[k:], w[:k] + w[k + 1 :]] if len(w) > 6 else [w[:k] + "x" + w[k:], w[:k] + w[k] + w[k:]]
+            for k in range(1, len(w)):
+                letter = "abcdefghijklmnopqrstuvwxyz0123456789"[zlib.crc32(f"{w}{k}".encode()) % 36]
+                out += [w[:k] + letter + w[k:], w[:k] + w[k - 1] + w[k:]]
+                if len(w) > 6 and k < len(w) - 1:
+                    out.append(w[:k] + w[k + 1 :])
     return out
 
 
@@ -143,8 +151,22 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2e-4,
     return w
 
 
-def train(texts: pa.Array, labels: np.ndarray, rounds: int = 3) -> dict:
-    """A model from labelled texts.  With one class only, a constant one."""
+def train(texts: pa.Array, labels: np.ndarray) -> dict:
+    """A model from labelled texts: four fifths train the machine, the rest calibrate it."""
+    fit = np.arange(len(labels)) % 5 != 4
+    if len(np.unique(labels[~fit])) < 2 or len(np.unique(labels[fit])) < 2:
+        fit = np.ones(len(labels), bool)
+    rest = fit if fit.all() else ~fit
+    model = _machine(texts.filter(pa.array(fit)), labels[fit])
+    if "scale" not in model:
+        units, index, bounds = units_of(texts.filter(pa.array(rest)))
+        best, _ = _witnesses(margins(units, model), index, bounds, model["bias"])
+        model["scale"] = platt(np.clip(best, -3, 3), labels[rest].astype(float))
+    return model
+
+
+def _machine(texts: pa.Array, labels: np.ndarray, rounds: int = 3) -> dict:
+    """The machine without its scale.  With one class only, a constant model."""
     positive = labels > 0
     if positive.all() or not positive.any():
         return {"table": np.zeros(1 << _BITS, np.float32), "bias": 0.0, "scale": (0.0, 6.0 if len(labels) and positive.all() else -6.0)}
@@ -155,15 +177,21 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 3) -> dict:
     df1 = np.bincount(unit[positive[doc]], minlength=len(units)).astype(float)
     df0 = np.bincount(unit[~positive[doc]], minlength=len(units)).astype(float)
     n1, n0 = positive.sum(), (~positive).sum()
-    # start: how much more often a subsequence is in units that only toxic texts have
-    lean = np.where(df0 == 0, df1, 0)
+    # start: of a unit's subsequences the one that leans most to toxic texts, in deviations from chance
     hot, cold = np.zeros(1 << _BITS), np.zeros(1 << _BITS)
     for a in range(0, len(units), 1 << 15):
         who, what, weight = subsequences(units.slice(a, 1 << 15))
-        hot += np.bincount(what, weights=weight * lean[a + who], minlength=1 << _BITS)
-        cold += np.bincount(what, weights=weight * df0[a + who], minlength=1 << _BITS)
-    model = {"table": np.log((hot + 0.5) / (n1 + 1)) - np.log((cold + 0.5) / (n0 + 1)), "bias": 0.0}
-    value = margins(units, model) * 0.1 + np.where(df0 == 0, np.log1p(df1), -np.log1p(df0))
+        hot += np.bincount(what, weights=df1[a + who], minlength=1 << _BITS)
+        cold += np.bincount(what, weights=df0[a + who], minlength=1 << _BITS)
+    chance = (hot + cold) * n1 / (n1 + n0)
+    lean = (hot - chance) / np.sqrt(chance + 1)
+    first = np.zeros(len(units))
+    for a in range(0, len(units), 1 << 15):
+        who, what, weight = subsequences(units.slice(a, 1 << 15))
+        np.maximum.at(first, a + who, lean[what])
+    # a word that clean texts use is no sign of a toxic one, whatever its parts
+    first -= 3 * np.log1p(df0)
+    value = first
     rng = np.random.default_rng(5)
     for _ in range(rounds):
         best, witness = _witnesses(value, index, bounds, -1e9)
@@ -182,7 +210,7 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 3) -> dict:
             if len(chosen) < LANDMARKS * 3 // 4 and (not chosen or similar[k, chosen].max() < 0.8):
                 chosen.append(k)
         marks = units.take(pa.array(np.concatenate([order[chosen], hard[np.linspace(0, max(0, len(hard) - 1), min(len(hard), LANDMARKS // 4)).astype(int)]])))
-        bent = pa.array(_bent(units.take(pa.array(order[:600])).to_pylist()), units.type)
+        bent = pa.array(_bent(units.take(pa.array(order[:300])).to_pylist()), units.type)
         rows = pa.concat_arrays([units.take(pa.array(good)), bent, units.take(pa.array(bad))])
         y = np.concatenate([np.ones(len(good) + len(bent)), -np.ones(len(bad))])
         k_mm = kernel(marks, marks)
@@ -190,7 +218,7 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 3) -> dict:
         root = vec[:, lam > 1e-4] / np.sqrt(lam[lam > 1e-4])
         half = root @ vec[:, lam > 1e-4].T
         z = kernel(rows, marks) @ half
-        heavy = np.concatenate([1.0 + np.log1p(often[good]), np.full(len(bent), 0.5)])
+        heavy = np.concatenate([1.0 + np.log1p(often[good]), np.full(len(bent), 0.5 * len(good) / max(1, len(bent)))])
         sample = np.concatenate([heavy / heavy.sum(), np.full(len(bad), 3.0 / max(1, len(bad)))])
         w = _svm(z, y, sample)
         alpha = half @ w[:-1]
@@ -198,9 +226,8 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 3) -> dict:
         who, what, weight = subsequences(marks)
         np.add.at(table, what, weight * alpha[who])
         model = {"table": table, "bias": float(w[-1])}
-        value = margins(units, model)
-    best, _ = _witnesses(value, index, bounds, model["bias"])
-    return {"table": model["table"].astype(np.float32), "bias": model["bias"], "scale": platt(np.clip(best, -3, 3), labels.astype(float))}
+        value = margins(units, model) + 0.05 * np.clip(first, -10, 10)
+    return {"table": model["table"].astype(np.float32), "bias": model["bias"]}
 
 
 def score(texts: pa.Array, model: dict) -> np.ndarray:
