@@ -71,7 +71,8 @@ def neighbours_of_queries(table: DataFrame, queries: DataFrame, k: int, metric:
     by row, and partial top-k lists meet by query.
     """
     packed = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_q"))
-    packed = packed.groupBy((F.xxhash64("query_id") % 64).alias("_block")).agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))
+    blocks = max(1, -(-packed.count() // block))
+    packed = packed.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))
 
     def best(batches):
         import pandas as pd
@@ -95,7 +96,7 @@ def neighbours_of_queries(table: DataFrame, queries: DataFrame, k: int, metric:
 
     size = F.floor(F.monotonically_increasing_id() / block)
     tiles = table.withColumn("_tile", size).groupBy("_tile").agg(F.collect_list(id_col).alias("_ids"), F.collect_list(vec_col).alias("_vs"))
-    pairs = tiles.withColumn("_block", F.explode(F.sequence(F.lit(-63), F.lit(63)))).join(packed, "_block").select("_qs", "_ids", "_vs")
+    pairs = tiles.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "_block").select("_qs", "_ids", "_vs")
     parts = pairs.mapInPandas(best, f"query_id long, {id_col} long, distance double").filter(f"query_id <> {id_col}")
     order = Window.partitionBy("query_id").orderBy("distance", id_col)
     return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
