@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import partitions, stored, tune
 
 RANGE_BYTES = 24 << 20
+RUN_ROWS = 250_000
 RUNS = "range int, run int, digests binary, lens binary, ids binary, sizes binary"
 
 
@@ -68,25 +70,39 @@ def exact_dedup(docs: DataFrame, keep: str = "min", fan_in: int = 8, id_col: str
     n_rows = rows.count()
     n_ranges = max(partitions(spark), math.ceil(n_rows * 56 / RANGE_BYTES))
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()) for b in batches]
-        ids = np.array([none if i is None else i for g in got for i in g[0]], np.int64)
-        digests = np.frombuffer(b"".join(bytes.fromhex(x) for g in got for x in g[1]), dtype="V32")
-        lens = np.array([x for g in got for x in g[2]], np.int64)
-        run = TaskContext.get().partitionId()
-        if not len(ids):
-            return
-        digests, lens, ids, sizes = _merged(digests, lens, ids, np.ones(len(ids), np.int64), keep)
+    # a run holds at most RUN_ROWS rows, so a partition may have several
+    parts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).agg(F.max("part").alias("last"), F.max("n").alias("most")).first()
+    per_part = max(1, math.ceil((parts["most"] or 0) / RUN_ROWS))
+    n_runs = ((parts["last"] or 0) + 1) * per_part
+
+    def packed(held: list[tuple], run: int) -> pa.RecordBatch:
+        digests, lens, ids, sizes = _merged(*(np.concatenate(x) for x in zip(*held)), keep)
         first = digests.view(np.uint8).reshape(-1, 32)[:, :8].copy().view(">u8").ravel()
         rng = (first >> np.uint64(33)).astype(np.int64) * n_ranges >> 31
         at = np.concatenate([[0], np.flatnonzero(np.diff(rng)) + 1, [len(rng)]])
         out = [_pack(int(rng[a]), run, digests[a:b], lens[a:b], ids[a:b], sizes[a:b]) for a, b in zip(at[:-1], at[1:])]
         names = [x.split()[0] for x in RUNS.split(", ")]
         types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, held, n = TaskContext.get().partitionId() * per_part, [], 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, RUN_ROWS):
+                b = batch.slice(k, RUN_ROWS)
+                if n + b.num_rows > RUN_ROWS:
+                    # rows left over join the partition's last run
+                    if run % per_part < per_part - 1:
+                        yield packed(held, run)
+                        run, held, n = run + 1, [], 0
+                ids = pc.fill_null(b.column(0), none).to_numpy(zero_copy_only=False)
+                digests = np.frombuffer(bytes.fromhex("".join(b.column(1).to_pylist())), dtype="V32")
+                held.append((digests, b.column(2).to_numpy(zero_copy_only=False).astype(np.int64), ids, np.ones(b.num_rows, np.int64)))
+                n += b.num_rows
+        if held:
+            yield packed(held, run)
 
     level = rows.mapInArrow(runs, RUNS)
-    n_runs = max(1, rows.rdd.getNumPartitions())
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         digests, lens, ids, sizes = _load(pdf)
