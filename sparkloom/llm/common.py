@@ -48,6 +48,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder and read back."""
     spark = df.sparkSession
@@ -55,17 +58,26 @@ def stored(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _WRITTEN.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more."""
     for df in tables:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "_scratch_path", None):
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this process: to be called when its results have been written."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

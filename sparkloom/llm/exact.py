@@ -128,7 +128,7 @@ def exact_dedup(docs: DataFrame, keep: str = "min", fan_in: int = 8, id_col: str
 
 def keep_one(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row for each text: that with the least (or largest) id; of its repeats, one."""
-    kept = exact_dedup(docs, keep, id_col=id_col, text_col=text_col).filter("kept or keep_id is null").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_hash", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_sha")), "left_semi")
-    return rows.dropDuplicates([id_col, "_hash"]).select(*docs.columns)
+    kept = exact_dedup(docs, keep, id_col=id_col, text_col=text_col).filter("kept or keep_id is null").select(F.col(id_col).alias("__loom_id"), F.col("text_sha256").alias("__loom_sha")).distinct()
+    rows = docs.withColumn("__loom_hash", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__loom_id")) & (F.col("__loom_hash") == F.col("__loom_sha")), "left_semi")
+    return rows.dropDuplicates([id_col, "__loom_hash"]).select(*docs.columns)

@@ -248,6 +248,6 @@ def keep_one(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "
     Rows that repeat an id stay or go together.  Rows with a null id stay.
     """
     groups = near_duplicates(docs, percent, width, id_col, text_col)
-    gone = stored(groups.filter(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "minmax-gone")
-    rest = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = stored(groups.filter(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("__loom_gone")).distinct(), "minmax-gone")
+    rest = docs.join(gone, F.col(id_col).cast("long") == F.col("__loom_gone"), "left_anti")
     return rest.select(*docs.columns)

@@ -111,9 +111,9 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, cap: int = 2, seed: str
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     rows = stored(rows, "mix-sizes")
     # rows that agree in id, source and size are numbered on both sides
-    counted = _taken(rows, share, cap, seed).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies")))).filter("copies > 0")
-    left = docs.withColumn("_size", word_count(F.col("text")))
-    left = left.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64(*docs.columns))))
-    right = counted.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_n").alias("_m"), "copies")
-    on = left["doc_id"].eqNullSafe(right["_d"]) & left["source"].eqNullSafe(right["_s"]) & (left["_size"] == right["_z"]) & (left["_n"] == right["_m"])
-    return left.join(right, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    counted = _taken(rows, share, cap, seed).withColumn("__loom_n", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies")))).filter("copies > 0")
+    left = docs.withColumn("__loom_size", word_count(F.col("text")))
+    left = left.withColumn("__loom_n", F.row_number().over(Window.partitionBy("doc_id", "source", "__loom_size").orderBy(F.xxhash64(*docs.columns))))
+    right = counted.select(F.col("doc_id").alias("__loom_d"), F.col("source").alias("__loom_s"), F.col("size").alias("__loom_z"), F.col("__loom_n").alias("__loom_m"), F.col("copies").alias("__loom_copies"))
+    on = left["doc_id"].eqNullSafe(right["__loom_d"]) & left["source"].eqNullSafe(right["__loom_s"]) & (left["__loom_size"] == right["__loom_z"]) & (left["__loom_n"] == right["__loom_m"])
+    return left.join(right, on).withColumn("__loom_copy", F.explode(F.sequence(F.lit(1), F.col("__loom_copies").cast("int")))).select(*docs.columns)

@@ -274,6 +274,21 @@ def test_null_ids_and_repeats(spark):
     assert toxicity.toxicity(df, spark.createDataFrame([], "doc_id long, toxic int")).count() == 5
 
 
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a b c d e f", "a b c d e f", "x y z", None]
+    df, names = frame(spark, texts), ("id", "sha", "size", "rep", "key", "label", "component", "block", "copies", "target", "n", "vec", "shard")
+    wide = df.select("*", *(F.lit("clash").alias(c) for c in names))
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash")).withColumn("source", F.lit("clash"))
+    for run in (substring.substring_dedup, suffix.suffix_dedup, minmax.near_duplicates, exact.exact_dedup, lm.lm_scores, mixing.mix_sources):
+        a, b = run(wide), run(df)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert quality.quality_scores(wide, labels).count() == toxicity.toxicity(wide, labels).count() == 4
+    for kept in (exact.keep_one(wide), minmax.keep_one(wide), mixing.mixed_documents(wide), quality.accepted_documents(wide, labels)):
+        assert kept.columns == wide.columns and all(r["size"] == "clash" for r in kept.collect())
+
+
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
 def test_queries_match_sql(spark):
     import duckdb
