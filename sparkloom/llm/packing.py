@@ -105,16 +105,23 @@ class WordTokens:
         whole = np.flatnonzero(marked).tolist()
         ids, sizes, stem, tail, end = self.pieces(coded.dictionary, [texts[k].as_py() for k in whole], end_id)
         index = coded.indices.to_numpy(zero_copy_only=False)
-        index = np.stack([stem[index], tail[index]], axis=1).ravel()
+        # 32-bit places throughout: a chunk has far fewer ids
+        index = np.stack([stem.astype(np.int32)[index], tail.astype(np.int32)[index]], axis=1).ravel()
         # a marked text was split as one empty word
         index[2 * bounds[whole]] = end + 1 + np.arange(len(whole))
         index = np.insert(index, 2 * bounds[1:], end)
-        lengths = sizes[index]
-        reach = np.cumsum(lengths)
-        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[index] - (reach - lengths), lengths) + np.arange(int(reach[-1]))]
+        lengths = sizes.astype(np.int32)[index]
+        reach = np.cumsum(lengths, dtype=np.int64)
         stops = reach[2 * bounds[1:] + np.arange(len(texts))]
+        first = (np.cumsum(sizes) - sizes)[index]
+        first -= reach
+        first += lengths
+        at = np.repeat(first.astype(np.int32), lengths)
+        del index, reach, first, lengths, parts
+        at += np.arange(len(at), dtype=np.int32)
+        ids = ids[at]
         n = np.diff(np.concatenate([[0], stops]))
-        raw = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * np.concatenate([[0], stops])).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+        raw = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * np.concatenate([[0], stops])).astype(np.int32).tobytes()), pa.py_buffer(ids)])
         return raw, n
 
 
