@@ -124,9 +124,9 @@ def phrase(docs: DataFrame, query: str, limit: int | None = 10, scorer: str = "b
     if len(terms) < 2:
         return search(docs, query, limit, scorer, tok, id_col=id_col, text_col=text_col)
     rows = _scored(docs, terms, tok, scorer, id_col, text_col).filter(F.col("_hits") == len(set(terms)))
-    starts = F.sequence(F.lit(1), F.col("_dl") - len(terms) + 1)
-    here = lambda i: reduce(lambda a, b: a & b, [F.get("_tokens", i + k - 1) == F.lit(t) for k, t in enumerate(terms)])
-    found = F.when(F.col("_dl") >= len(terms), F.exists(starts, here)).otherwise(F.lit(False))
+    # tokens hold no spaces, so joined by them a phrase is a substring: the tokens are made once a row
+    line = F.concat(F.lit(" "), F.array_join("_tokens", " "), F.lit(" "))
+    found = line.contains(" " + " ".join(terms) + " ")
     return _ranked(rows.filter(found), limit, id_col)
 
 
