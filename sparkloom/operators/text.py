@@ -33,6 +33,15 @@ class Tokenizer:
             out = F.filter(out, lambda t: ~t.isin(*self.stop_words))
         return F.transform(out, stem) if self.stemming else out
 
+    def line(self, text: Column) -> Column:
+        """The tokens as one string, each with a space before and after it; empty without tokens."""
+        if self.stemming or self.stop_words:
+            flat = F.array_join(self.column(text), "  ")
+        else:
+            flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPLIT, "  "))
+            flat = F.lower(flat) if self.lowercase else flat
+        return F.when(flat == "", flat).otherwise(F.concat(F.lit(" "), flat, F.lit(" ")))
+
     def words(self, text: str) -> list[str]:
         """The same for a query, in Python."""
         import regex
@@ -77,12 +86,17 @@ def corpus_stats(docs: DataFrame, tok: Tokenizer = Tokenizer(), text_col: str =
     return docs.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avg_len"), F.sum(size).cast("long").alias("total_len"))
 
 
-def _scored(docs: DataFrame, terms: list[str], tok: Tokenizer, scorer: str, id_col: str, text_col: str, boosts: dict[str, float] | None = None) -> DataFrame:
-    """docs with _tokens and score; ``terms`` may repeat, and count as often."""
+def _scored(docs: DataFrame, terms: list[str], tok: Tokenizer, scorer: str, id_col: str, text_col: str, boosts: dict[str, float] | None = None, tokens: bool = False) -> DataFrame:
+    """docs with _line, _dl and score (and _tokens); ``terms`` may repeat, and count as often."""
     unique = list(dict.fromkeys(terms))
-    rows = docs.select(id_col, tok.column(F.col(text_col)).alias("_tokens"))
-    count = lambda t: F.size(F.filter("_tokens", lambda x: x == F.lit(t)))
-    rows = rows.select("*", F.size("_tokens").alias("_dl"), *(count(t).alias(f"_tf{i}") for i, t in enumerate(unique)))
+    # one string per document, " a  b  a ": each token has spaces of its own, so counting is replacing
+    rows = docs.select(id_col, *([tok.column(F.col(text_col)).alias("_tokens")] if tokens else []), tok.line(F.col(text_col)).alias("_line"))
+    bytes_without = lambda t: F.octet_length("_line") - F.octet_length(F.replace("_line", F.lit(t)))
+    count = lambda t: (bytes_without(f" {t} ") / len(f" {t} ".encode())).cast("int")
+    dl = (bytes_without(" ") / 2).cast("int")
+    # a generator of one row keeps filters on the counts above it: below, they would make the line anew for each count
+    counts = F.struct(dl.alias("_dl"), *(count(t).alias(f"_tf{i}") for i, t in enumerate(unique)))
+    rows = rows.select("*", F.explode(F.array(counts)).alias("_counts")).select(*rows.columns, "_counts.*")
     stats = rows.agg(F.count("*").cast("double").alias("_n"), F.avg("_dl").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).cast("double").alias(f"_df{i}") for i in range(len(unique))))
     # the statistics are one row
     rows = rows.join(F.broadcast(stats), F.lit(True))
@@ -110,7 +124,7 @@ def search(docs: DataFrame, query: str, limit: int | None = 10, scorer: str = "b
     terms = tok.words(query)
     if not terms:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    rows = _scored(docs, terms, tok, scorer, id_col, text_col, boosts).filter("_hits > 0")
+    rows = _scored(docs, terms, tok, scorer, id_col, text_col, boosts, highlights).filter("_hits > 0")
     more = []
     if highlights:
         marked = F.filter(F.transform("_tokens", lambda t, i: F.struct(t.alias("fragment"), i.alias("start"), (i + F.octet_length(t)).alias("end"))), lambda h: h["fragment"].isin(*set(terms)))
@@ -124,10 +138,7 @@ def phrase(docs: DataFrame, query: str, limit: int | None = 10, scorer: str = "b
     if len(terms) < 2:
         return search(docs, query, limit, scorer, tok, id_col=id_col, text_col=text_col)
     rows = _scored(docs, terms, tok, scorer, id_col, text_col).filter(F.col("_hits") == len(set(terms)))
-    # tokens hold no spaces, so joined by them a phrase is a substring: the tokens are made once a row
-    line = F.concat(F.lit(" "), F.array_join("_tokens", " "), F.lit(" "))
-    found = line.contains(" " + " ".join(terms) + " ")
-    return _ranked(rows.filter(found), limit, id_col)
+    return _ranked(rows.filter(F.col("_line").contains(" " + "  ".join(terms) + " ")), limit, id_col)
 
 
 def boolean_and(docs: DataFrame, terms: list[str], limit: int | None = None, tok: Tokenizer = Tokenizer(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
