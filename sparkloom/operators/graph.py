@@ -1,7 +1,7 @@
 """Graph operators over nodes (id, label, ...) and edges (src, dst, type, ...).
 
 Traversals are bounded loops of joins.  A frontier holds nodes, not paths, so repeated visits collapse in
-an aggregate each hop; where a shared checkpoint folder is set, every third hop cuts the lineage there.
+an aggregate each hop.  Each hop cuts the lineage, as the next one reads the frontier twice.
 """
 
 from __future__ import annotations
@@ -11,11 +11,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EVERY = 3
-
-
-def _cut(df: DataFrame, hop: int) -> DataFrame:
-    return df.checkpoint() if hop % EVERY == 0 and df.sparkSession.sparkContext.getCheckpointDir() else df
+from sparkloom.sources.scratch import cut
 
 
 def scan_nodes(nodes: DataFrame, label: str | None = None) -> DataFrame:
@@ -52,7 +48,8 @@ def traverse(start: DataFrame, edges: DataFrame, max_depth: int, direction: str
         nxt = frontier.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         if nodes is not None:
             nxt = nxt.join(nodes.select("id"), "id", "left_semi")
-        frontier = _cut(nxt.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(hop)), hop)
+        frontier = nxt.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(hop))
+        frontier = cut(frontier) if hop < max_depth else frontier
         seen = seen.union(frontier)
     return seen
 
@@ -76,7 +73,7 @@ def find_paths(edges: DataFrame, start: DataFrame, target: str, max_depth: int,
     found = None
     for hop in range(1, max_depth + 1):
         step = paths.join(useful, F.col("at") == F.col("src")).filter((F.col("left") <= max_depth - hop) & ~F.array_contains("path", F.col("dst")))
-        paths = _cut(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at")), hop)
+        paths = cut(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at")))
         done = paths.filter(F.col("at") == target).select("path", F.lit(hop).alias("depth"))
         found = done if found is None else found.union(done)
         paths = paths.filter(F.col("at") != target)
