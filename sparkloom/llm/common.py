@@ -34,6 +34,16 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def tidy() -> None:
+    """Give freed memory back: Python workers stay for later stages, and share their executor's memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -129,6 +139,7 @@ def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
             yield _block_row(number, ids, texts)
+        tidy()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, BLOCK_SCHEMA)
 
@@ -213,6 +224,7 @@ def per_block(blocks: DataFrame, fn: Callable, schema: str) -> DataFrame:
                 out = fn(row)
                 if len(out):
                     yield out if isinstance(out, pd.DataFrame) else pd.DataFrame(out, columns=names)
+        tidy()
 
     return blocks.mapInPandas(run, schema)
 
@@ -224,6 +236,7 @@ def with_replies(blocks: DataFrame, replies: DataFrame, fn: Callable, schema: st
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = [fn(row, right) for row in left.itertuples(index=False)]
         parts = [p if isinstance(p, pd.DataFrame) else pd.DataFrame(p, columns=names) for p in parts if len(p)]
+        tidy()
         return pd.concat(parts) if parts else pd.DataFrame(columns=names)
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)

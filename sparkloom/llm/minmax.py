@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix, rolling, stored, tune, word_hashes
+from .common import discard, mix, rolling, stored, tidy, tune, word_hashes
 from .components import components
 
 PERMUTATIONS = 64
@@ -88,6 +88,7 @@ def _signed(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
                     ids, sets, held = [], [], 0
             if ids:
                 yield emit(ids, sets)
+        tidy()
 
     def emit(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [s for s in sets if len(s)]
@@ -124,6 +125,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, id
                 yield pa.RecordBatch.from_arrays(
                     [sub.column(0), pa.array([x for x, _ in prints], pa.int64()), pa.array([x for _, x in prints], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "fp1", "fp2", "set"]
                 )
+        tidy()
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text")).join(wanted.hint("merge"), "rep", "left_semi")
     return texts.mapInArrow(run, "rep long, fp1 long, fp2 long, set array<long>").join(classes.select("rep", "fp1", "fp2"), ["rep", "fp1", "fp2"], "left_semi").dropDuplicates(["rep", "fp1", "fp2"]).select("rep", "set")

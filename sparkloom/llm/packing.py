@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tune
+from .common import stored, tidy, tune
 
 TOKENS = "doc_id long, part int, at long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -146,6 +146,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
                 starts = np.cumsum(np.concatenate([[at], n]))
                 at = int(starts[-1])
                 yield pa.RecordBatch.from_arrays([sub.column(0), pa.array(np.full(b - a, part, np.int32)), pa.array(starts[:-1]), pa.array(n), ids], names=["doc_id", "part", "at", "n", "ids"])
+                del sub, ids
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, TOKENS)
 

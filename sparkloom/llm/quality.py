@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import chunks, coded_words, logistic, platt, raw, sigmoid, sums
-from .common import mix, stored, tune
+from .common import mix, tidy, tune
 from .toxicity import training_sample
 
 SAMPLE_ROWS = 4000  # labelled texts, at most about this many
@@ -205,6 +205,7 @@ def score_quality(docs: DataFrame, model: dict, threshold: float = 0.5, id_col:
                     odds = np.stack([s * m + c for m, (s, c) in zip((a, b), model["scales"])], axis=1)
                     each = [sigmoid(odds[:, 0]), sigmoid(odds[:, 1]), sigmoid(np.clip(odds, -8, 8) @ model["joint"][:-1] + model["joint"][-1])]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.asarray(x, float)) for x in each), pa.array(each[2] >= threshold)], names=["doc_id", "content_score", "page_score", "score", "accepted"])
+        tidy()
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *_meta(docs)).mapInArrow(run, "doc_id long, content_score double, page_score double, score double, accepted boolean")
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
@@ -229,5 +230,6 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.
                     odds = np.stack([s * m + c for m, (s, c) in zip((a, b), model["scales"])], axis=1)
                     keep = sigmoid(np.clip(odds, -8, 8) @ model["joint"][:-1] + model["joint"][-1]) >= threshold
                 yield part.filter(pa.array(keep))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import chunks, coded_words, logistic, platt, raw, sigmoid
-from .common import tune
+from .columns import chunks, coded_words, platt, raw, sigmoid
+from .common import tidy, tune
 
 LAMBDA = 0.7
 # steps between the bytes of a subsequence: three bytes that span at most five, four that span at most five
@@ -272,6 +272,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds:
             for part in chunks(batch, 1):
                 s = score(part.column(1), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        tidy()
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
