@@ -8,10 +8,10 @@ Documents with equal shingle sets are one class from the start, and only classes
 bucket (classes that agree in a band) the first comparison is of each class with the most central one,
 which shares the largest buckets.  Links are confirmed on whole sets, and classes that are linked already
 need no comparison.  Then, in the buckets that still hold several components, every class outside the
-bucket's largest component is compared with every class of another component: first inside the join, by
-four bits of each signature value, and then on whole sets.  The first test passes a pair at a similarity
-of exactly 0.75 with a chance of 0.98 (two deviations), and nearly surely at 0.8.  So no candidate is
-capped, and a bucket of copies costs a pair per class, not per pair.
+bucket's largest component is compared with every class of another component: all of them on whole sets,
+but for pairs that sizes or parities (see ``parities``) prove to be below the threshold.  These bounds are
+exact, so only the bands can miss a link, no candidate is capped, and a bucket of copies costs a pair per
+class, not per pair.
 """
 
 from __future__ import annotations
@@ -174,12 +174,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     rows = _labelled(buckets, links)
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     major = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
-    sketched = rows.join(_sketches(classes), "rep").join(major, "key")
+    sketched = rows.join(_keys(classes), "rep").join(_sketches(sets), "rep").join(major, "key")
     minor = sketched.filter("component <> major").select("key", F.col("rep").alias("r"), F.col("component").alias("c"), F.col("sketch").alias("other"), F.col("keys").alias("their_keys"), F.col("n_shingles").alias("m"))
     sketched = sketched.select("key", "rep", "component", "major", "sketch", "keys", "n_shingles")
-    apart = sum((_differing(F.col("sketch")[i], F.col("other")[i]) for i in range(_WORDS)), F.lit(0))
     on = (sketched["key"] == minor["key"]) & (F.col("component") != F.col("c")) & ((F.col("component") == F.col("major")) | (F.col("rep") > F.col("r")))
-    on = on & (100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m")) & (apart <= _most_apart(percent))
+    on = on & (100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m"))
+    # sets of that similarity have at most this many shingles that only one of them holds
+    on = on & ((100 + percent) * _differing(F.col("sketch"), F.col("other")) <= (100 - percent) * (F.col("n_shingles") + F.col("m")))
     # a pair that shares several buckets meets in the least one
     on = on & (F.array_min(F.array_intersect("keys", "their_keys")) == sketched["key"])
     rest = sketched.join(minor, on).select(F.greatest("rep", "r").alias("a"), F.least("rep", "r").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
@@ -202,38 +203,57 @@ def _pivoted(rows: DataFrame, order, tried: DataFrame | None, sets: DataFrame, p
     return pairs, stored(_confirmed(pairs, sets, percent), "minmax-links")
 
 
-_WORDS = 2 * PERMUTATIONS // 16
+_MOST_BITS = 1 << 16
 
 
-def _sketches(classes: DataFrame) -> DataFrame:
-    """(rep, sketch, keys, n_shingles): four bits of each signature value, sixteen values to a long, and the bucket keys."""
+def _keys(classes: DataFrame) -> DataFrame:
+    """(rep, keys): the bucket keys of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, _WORDS, 16)
-                # the leading bits of a least value are mostly 0 and those of a largest mostly 1: mix first
-                bits = mix(sig.astype(np.uint64)) & np.uint64(15)
-                words = np.bitwise_or.reduce(bits << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
-                keys = bands(sig.reshape(batch.num_rows, -1))
-                lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (words, keys)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2)], names=["rep", "sketch", "keys", "n_shingles"])
+                keys = bands(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["rep", "keys"])
+
+    return classes.select("rep", "sig").mapInArrow(run, "rep long, keys array<long>")
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """A power of two of bits, two to four a shingle, as int64 words: whether an odd number of shingles falls on each.
+
+    Two sets' parities, folded to the same length, differ in no more bits than there are shingles that only
+    one of the sets holds.
+    """
+    n_bits = min(max(64, 1 << (2 * len(s) - 1).bit_length()), _MOST_BITS)
+    odd = np.bincount((s & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(rep, sketch, n_shingles): the parities of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 100):
+                sub = batch.slice(a, 100)
+                held = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in sub.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [sub.column(0), pa.array([parities(s) for s in held], pa.list_(pa.int64())), pa.array([len(s) for s in held], pa.int64())], names=["rep", "sketch", "n_shingles"]
+                )
 
-    return classes.select("rep", "sig", "n_shingles").mapInArrow(run, "rep long, sketch array<long>, keys array<long>, n_shingles long")
+    return sets.select("rep", "set").mapInArrow(run, "rep long, sketch array<long>, n_shingles long")
 
 
 def _differing(x, y):
-    """How many of the sixteen four-bit values of two longs differ."""
-    d = x.bitwiseXOR(y)
-    d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-    d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-    return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    """How many bits of two parities differ, at the length of the shorter; 0 where one is over twice as long."""
+    w = F.least(F.size(x), F.size(y))
 
+    def folded(z):
+        halves = F.zip_with(F.slice(z, F.lit(1), w), F.slice(z, w + 1, w), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(z) == w, z).otherwise(halves)
 
-def _most_apart(percent: int) -> int:
-    """Values that differ in a pair of that similarity: the mean and two deviations."""
-    n, p = 2 * PERMUTATIONS, (1 - percent / 100) * 15 / 16
-    return int(n * p + 2 * (n * p * (1 - p)) ** 0.5)
+    bits = F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: a.bitwiseXOR(b)), F.lit(0), lambda n, a: n + F.bit_count(a))
+    return F.when(F.greatest(F.size(x), F.size(y)) <= 2 * w, bits).otherwise(0)
 
 
 def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:

@@ -118,6 +118,33 @@ def test_near_duplicates(spark, seed, empty):
         assert kept.columns == [x.split()[0] for x in SCHEMA.split(", ")] and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_near_duplicates_that_miss_the_pivot(spark):
+    # 45 of 128 four-bit signature values of this pair differ, at a similarity of exactly 0.75
+    held = [f"w1499x{i}" for i in range(70)], [f"w1499x{i}" for i in range(60)] + [f"w1499y{i}" for i in range(10)]
+    sets = [minmax.shingles(" ".join(w).encode(), 1) for w in held]
+    sig = minmax.signatures(sets)
+    agree = np.repeat((minmax.bands(sig)[0] == minmax.bands(sig)[1]), 2 * minmax.PERMS_PER_BAND)
+    assert agree.any()
+    # a set of the shared bands' extreme shingles alone is in all their buckets, and links with neither
+    ends = set(sig[0][agree].tolist())
+    extreme = [w for w in held[0] if ends & set(minmax.signatures([minmax.shingles(w.encode(), 1)])[0][agree].tolist())]
+    assert len(extreme) < 45
+    texts = [" ".join(extreme), *(" ".join(w) for w in held)]
+    got = {r.doc_id: r.component_id for r in minmax.near_duplicates(frame(spark, texts), 75, 1).collect()}
+    assert got == {0: 0, 1: 1, 2: 1} == {i: c for i, (_, c) in brute.near(list(enumerate(texts)), 75, 1).items()}
+
+
+def test_parities_never_exceed_the_difference():
+    pool = minmax.mix(np.arange(5000, dtype=np.uint64))
+    for n, new in ((3, 1), (60, 20), (63, 4), (1000, 250), (4000, 900)):
+        a, b = pool[:n], pool[new : n + 2 * new]
+        x, y = sorted((minmax.parities(a), minmax.parities(b)), key=len)
+        if len(y) > len(x):
+            y = y[: len(x)] ^ y[len(x) :]
+        apart = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+        assert 0 < apart <= 3 * new and len(x) * 64 <= 4 * max(16, n)
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(3)
     pool = minmax.mix(np.arange(3000, dtype=np.uint64))
