@@ -64,11 +64,25 @@ def vector_stats(table: DataFrame, vec_col: str = "embedding") -> DataFrame:
     return table.agg(F.count("*").alias("vectors"), F.max(F.size(v)).alias("dimensions"), F.round(F.avg(norm(v)), 6).alias("avg_magnitude"))
 
 
-def neighbours_of_queries(table: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """(queries, rows) of distances."""
+    if metric == "dot":
+        return -q @ v.T
+    if metric == "cosine":
+        return 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+    if metric == "manhattan":
+        return np.abs(q[:, None] - v[None]).sum(-1)
+    return np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T))
+
+
+def neighbours_of_queries(table: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", among=None, codes=None, n_codes: int = 0) -> DataFrame:
     """Exact k nearest of every query: queries travel in blocks, each row block keeps its k best per query.
 
     The queries are a stated set; they are joined to partitions of the table as packed blocks, never row
     by row, and partial top-k lists meet by query.
+
+    An index narrows the search: ``among(q, v)`` marks each query's candidates, and of these the ``n_codes``
+    least by ``codes(q, v)``, where given, are ranked by distance.
     """
     packed = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_q"))
     blocks = max(1, -(-packed.count() // block))
@@ -81,25 +95,25 @@ def neighbours_of_queries(table: DataFrame, queries: DataFrame, k: int, metric:
             for qs, ids, vecs in zip(pdf["_qs"], pdf["_ids"], pdf["_vs"]):
                 q = np.array([list(x["_q"]) for x in qs], float)
                 v = np.array([list(x) for x in vecs], float)
-                if metric == "dot":
-                    d = -q @ v.T
-                elif metric == "cosine":
-                    d = 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                elif metric == "manhattan":
-                    d = np.abs(q[:, None] - v[None]).sum(-1)
-                else:
-                    d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T))
                 ids = np.asarray(ids)
-                for row, x in zip(d, qs):
-                    own = np.lexsort((ids, row))[: k + 1]
-                    yield pd.DataFrame({"query_id": x["query_id"], id_col: ids[own], "distance": row[own]})
+                d = _distances(q, v, metric) if among is None else None
+                marked = among(q, v) if among else None
+                coded = codes(q, v) if codes else None
+                for i, x in enumerate(qs):
+                    rows = np.arange(len(v)) if among is None else np.flatnonzero(marked[i])
+                    far = d[i] if among is None else _distances(q[i : i + 1], v[rows], metric)[0]
+                    code = coded[i, rows] if codes else far
+                    own = np.lexsort((ids[rows], code))[: (n_codes if codes else k) + 1]
+                    yield pd.DataFrame({"query_id": x["query_id"], id_col: ids[rows[own]], "distance": far[own], "_code": code[own]})
 
     size = F.floor(F.monotonically_increasing_id() / block)
     tiles = table.withColumn("_tile", size).groupBy("_tile").agg(F.collect_list(id_col).alias("_ids"), F.collect_list(vec_col).alias("_vs"))
     pairs = tiles.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "_block").select("_qs", "_ids", "_vs")
-    parts = pairs.mapInPandas(best, f"query_id long, {id_col} long, distance double").filter(f"query_id <> {id_col}")
+    parts = pairs.mapInPandas(best, f"query_id long, {id_col} long, distance double, _code double").filter(f"query_id <> {id_col}")
+    if codes:
+        parts = parts.withColumn("_at", F.row_number().over(Window.partitionBy("query_id").orderBy("_code", id_col))).filter(F.col("_at") <= n_codes).drop("_at")
     order = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return parts.drop("_code").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 SAMPLE = 20_000
@@ -126,7 +140,7 @@ class IVF:
     """
 
     def __init__(self, table: DataFrame, n_lists: int = 16, sub_quantizers: int = 0, id_col: str = "vec_id", vec_col: str = "embedding"):
-        self.id_col, self.vec_col = id_col, vec_col
+        self.table, self.id_col, self.vec_col = table, id_col, vec_col
         n = table.count()
         share = min(1.0, SAMPLE / max(1, n))
         sample = table.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * share)).select(vec_col).toPandas()[vec_col]
@@ -159,6 +173,25 @@ class IVF:
             lists = self._by_codes(lists, query, 8 * k)
         return knn(lists, literal(query), k, metric, None, self.id_col, self.vec_col)
 
+    def knn_of_queries(self, queries: DataFrame, k: int, n_probe: int = 4, metric: str = "euclidean", refine: int = 8) -> DataFrame:
+        """(query_id, id, distance, rank) for many queries; with codes, ``refine`` * k candidates are ranked again."""
+        centres, books = self.centres, self.books
+
+        def among(q, v):
+            own = (2 * v @ centres.T - (centres**2).sum(1)).argmax(1)
+            probed = np.zeros((len(q), len(centres)), bool)
+            near = np.argsort((centres**2).sum(1) - 2 * q @ centres.T, axis=1, kind="stable")[:, :n_probe]
+            np.put_along_axis(probed, near, True, axis=1)
+            return probed[:, own]
+
+        def codes(q, v):
+            out = np.zeros((len(q), len(v)))
+            for b, x, y in zip(books, np.array_split(q, len(books), axis=1), np.array_split(v, len(books), axis=1)):
+                out += ((b**2).sum(1) - 2 * x @ b.T + (x**2).sum(1, keepdims=True))[:, (2 * y @ b.T - (b**2).sum(1)).argmax(1)]
+            return out
+
+        return neighbours_of_queries(self.table, queries, k, metric, id_col=self.id_col, vec_col=self.vec_col, among=among, codes=codes if books else None, n_codes=refine * k)
+
     def _by_codes(self, rows: DataFrame, query, n: int) -> DataFrame:
         books, vec = self.books, self.vec_col
         tables = [((b - q) ** 2).sum(1) for b, q in zip(books, np.array_split(np.asarray(query, float), len(books)))]
@@ -189,6 +222,20 @@ def lsh_knn(table: DataFrame, query, k: int, planes: int = 6, tables: int = 12,
     return knn(table, literal(query), k, metric, near, id_col, vec_col)
 
 
-def recall(found: DataFrame, truth: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    hits = truth.select(id_col).join(found.select(id_col).withColumn("_hit", F.lit(1)), id_col, "left")
+def lsh_knn_of_queries(table: DataFrame, queries: DataFrame, k: int, planes: int = 6, tables: int = 12, seed: int = 9, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``lsh_knn`` for many queries: (query_id, id, distance, rank)."""
+
+    def among(q, v):
+        normals = np.random.default_rng(seed).standard_normal((tables, planes, q.shape[1]))
+        near, bits = np.zeros((len(q), len(v)), bool), 1 << np.arange(planes)
+        for n in normals:
+            near |= ((q @ n.T >= 0) @ bits)[:, None] == ((v @ n.T >= 0) @ bits)[None]
+        return near
+
+    return neighbours_of_queries(table, queries, k, metric, id_col=id_col, vec_col=vec_col, among=among)
+
+
+def recall(found: DataFrame, truth: DataFrame, id_col: str | list[str] = "vec_id") -> DataFrame:
+    on = [id_col] if isinstance(id_col, str) else id_col
+    hits = truth.select(*on).join(found.select(*on).withColumn("_hit", F.lit(1)), on, "left")
     return hits.agg(F.round(F.count("_hit") / F.count("*"), 6).alias("recall"))

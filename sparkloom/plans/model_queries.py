@@ -211,33 +211,38 @@ def vec_simjoin(spark, d):
     return vector.neighbours_of_queries(e, e.filter("vec_id % 20 = 0"), 3, "cosine").withColumn("distance", F.round("distance", 6))
 
 
-def _first(e: DataFrame) -> list[float]:
-    return [float(x) for x in e.filter("vec_id = 0").select("embedding").first()[0]]
+# the parameters of each index kind, for its query and for vec_recall
+_IVF, _IVFPQ, _LSH = {"n_probe": 12}, {"n_probe": 12, "refine": 64}, {"tables": 64}
+
+
+def _asked(e: DataFrame) -> DataFrame:
+    return e.filter("vec_id % 20 = 0").select("vec_id", "embedding")
 
 
 @query("vec_ivf_knn")
 def vec_ivf_knn(spark, d):
     e = _vectors(spark, d)
-    return vector.IVF(e, n_lists=16).knn(_first(e), 10, n_probe=8)
+    return vector.IVF(e, n_lists=16).knn_of_queries(_asked(e), 10, **_IVF)
 
 
 @query("vec_ivfpq_knn")
 def vec_ivfpq_knn(spark, d):
     e = _vectors(spark, d)
-    return vector.IVF(e, n_lists=16, sub_quantizers=8).knn(_first(e), 10, n_probe=8)
+    return vector.IVF(e, n_lists=16, sub_quantizers=8).knn_of_queries(_asked(e), 10, **_IVFPQ)
 
 
 @query("vec_lsh_knn")
 def vec_lsh_knn(spark, d):
     e = _vectors(spark, d)
-    return vector.lsh_knn(e, _first(e), 10)
+    return vector.lsh_knn_of_queries(e, _asked(e), 10, **_LSH)
 
 
 @query("vec_recall")
 def vec_recall(spark, d):
     e = _vectors(spark, d)
-    q = _first(e)
-    return vector.recall(vector.IVF(e, n_lists=16).knn(q, 10, n_probe=14), vector.knn(e, vector.literal(q), 10))
+    kinds = ("ivf", vec_ivf_knn, "euclidean"), ("ivfpq", vec_ivfpq_knn, "euclidean"), ("lsh", vec_lsh_knn, "cosine")
+    rows = [vector.recall(found(spark, d), vector.neighbours_of_queries(e, _asked(e), 10, metric), ["query_id", "vec_id"]).select(F.lit(kind).alias("kind"), "recall") for kind, found, metric in kinds]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 # ---------------------------------------------------------------- space

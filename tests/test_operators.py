@@ -1,8 +1,12 @@
 """Golden facts of the operators on tiny tables."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+
 from sparkloom.functions import keys
 from sparkloom.operators import embedding, filters, graph, index, kv, mvcc, spatial, text, vector
 from sparkloom.operators.kv import KeyRange
@@ -146,6 +150,19 @@ def test_vectors(spark):
     assert vector.IVF(t, n_lists=2).knn([1.0, 0.0], 1, n_probe=2).first().vec_id == 0
 
 
+def test_recall_of_the_index_queries(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    e = spark.read.parquet(f"{folder}/embeddings.parquet")
+    asked = e.filter("vec_id % 20 = 0")
+    for name, metric in (("vec_ivf_knn", "euclidean"), ("vec_ivfpq_knn", "euclidean"), ("vec_lsh_knn", "cosine")):
+        truth = {(r.query_id, r.vec_id) for r in vector.neighbours_of_queries(e, asked, 10, metric).collect()}
+        found = {(r.query_id, r.vec_id) for r in entry.queries()[name](spark, folder).collect()}
+        assert len(truth) == 10 * asked.count() and len(truth & found) >= 0.9 * len(truth), name
+    assert {r.kind for r in entry.queries()["vec_recall"](spark, folder).collect() if r.recall >= 0.9} == {"ivf", "ivfpq", "lsh"}
+
+
 def test_space(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 15.0, 5.0)], "id long, lat double, lon double")
     assert {r.id: r.distance for r in spatial.query_knn(p, (0, 0), 2).collect()} == {1: 0.0, 2: 5.0}
