@@ -373,6 +373,17 @@ def gr_match_2hop(spark, d):
     return graph.match(nodes(spark, d), few, "(a:Customer)-[:PLACED]->(b:Order)-[:CONTAINS]->(c:Part)")
 
 
+@query("gr_optional_expand_all", f"WITH {_EDGES} SELECT c.id, dst AS neighbor, type AS neighbor_type FROM (SELECT 'c' || c_custkey AS id FROM customer) c LEFT JOIN edges ON src = c.id AND type = 'PLACED'")
+def gr_optional_expand_all(spark, d):
+    start = table(spark, d, "customer").select(_id("c", "c_custkey").alias("id"))
+    return graph.expand(start, edges(spark, d), kinds=["PLACED"], optional=True)
+
+
+@query("gr_match_2hop_all", "SELECT 'c' || o_custkey AS a, 'o' || l_orderkey AS b, 'p' || l_partkey AS c FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey")
+def gr_match_2hop_all(spark, d):
+    return graph.match(nodes(spark, d), edges(spark, d), "(a:Customer)-[:PLACED]->(b:Order)-[:CONTAINS]->(c:Part)")
+
+
 @query("gr_path_construct", "SELECT 'n' || n_nationkey || '>r' || n_regionkey AS path FROM nation")
 def gr_path_construct(spark, d):
     rows = graph.match(nodes(spark, d), edges(spark, d), "(a:Nation)-[e:IN_REGION]->(b:Region)")

@@ -190,6 +190,16 @@ def test_graphs(spark):
     assert graph.expand(n, e, optional=True).filter("neighbor is null").count() == 1
 
 
+def test_matches_reach_the_whole_graph(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    t = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    paths = t("lineitem").select("l_orderkey", "l_partkey").distinct().join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    assert entry.queries()["gr_match_2hop_all"](spark, folder).count() == paths.count()
+    assert entry.queries()["gr_optional_expand_all"](spark, folder).select("id").distinct().count() == t("customer").count()
+
+
 def test_filters_and_programs(spark, docs):
     t = spark.createDataFrame([(1, [1, 2], '{"a": {"b": 5}}'), (2, [3], '{"a": {}}'), (3, None, None)], "id int, tags array<int>, body string")
     f = lambda tree: ids(t.filter(filters.compile_filter(tree)), "id")
