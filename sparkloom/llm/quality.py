@@ -6,6 +6,10 @@ the shares of letters, capitals, digits, marks and spaces).  Each view is a logi
 round each view labels the unlabelled pool, and its most confident rows of both classes join the *other*
 view's training set.  At the end each view is calibrated on labelled rows that it wasn't trained on, and
 the calibrated log-odds are combined with weights fitted on those rows.
+
+The pool deviates from the whole job: it is a hash sample of about POOL_ROWS unlabelled texts at any size,
+without texts over 100,000 characters.  Every row is scored, but rare sources or languages and very long
+pages may have no part in the rounds.  The effect of a larger pool is not measured.
 """
 
 from __future__ import annotations
