@@ -2,7 +2,8 @@
 
 Each permutation of the shingles gives two values of the signature, the least and the largest, so 128
 values cost 64 hash evaluations a shingle.  Two permutations (four values) make a band.  At a similarity
-of 0.75 the chance that no band of 32 agrees is (1 - 0.75**4)**32, about five in a million.
+of 0.75 the chance that no band of 32 agrees is (1 - 0.75**4)**32, about five in a million, for large sets.  In small sets the least and the largest
+value go together: of 3 shingles inside 4 both agree with a chance of 0.5, so the miss is 0.75**32, 1e-4.
 
 Documents with equal shingle sets are one class from the start, and only classes are compared.  In a
 bucket (classes that agree in a band) the first comparison is of each class with the most central one,
