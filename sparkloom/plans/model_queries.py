@@ -59,6 +59,12 @@ def txt_postings(spark, d):
     return p.select("term", "doc_id", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"), "tf")
 
 
+@query("txt_postings_all", f"WITH {_TOK} SELECT term, doc_id, array_to_string(list(pos ORDER BY pos), ',') AS positions, count(*) AS tf FROM tok GROUP BY ALL")
+def txt_postings_all(spark, d):
+    p = text.postings(_docs(spark, d))
+    return p.select("term", "doc_id", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"), "tf")
+
+
 @query("txt_term_stats", f"WITH {_TOK}, p AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf, round(avg(tf), 6) AS avg_positions FROM p WHERE term IN ('the', 'stupid', 'moron') GROUP BY term")
 def txt_term_stats(spark, d):
     return text.term_stats(_docs(spark, d), ["the", "stupid", "moron"]).withColumn("avg_positions", F.round("avg_positions", 6))

@@ -132,6 +132,10 @@ def test_search(spark, docs):
     assert (mark.fragment, mark.start, mark.end) == ("dog", 1, 4)
 
 
+def test_postings_of_the_whole_vocabulary():
+    assert {"txt_postings", "txt_postings_all"} <= entry.queries().keys() and " IN (" not in entry.oracle_sql()["txt_postings_all"]
+
+
 def test_stemming(spark):
     words = ["running", "king", "jumped", "red", "cats", "gas", "és", "ings", "sing"]
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.stem(F.col("w")).alias("s"))
