@@ -4,17 +4,24 @@ Scratch tables are Parquet files in the folder named by ``spark.checkpoint.dir``
 driver and every executor share); they cut lineage, so a lost executor costs a re-read and no more.
 
 *Blocks* pack about ``BLOCK_BYTES`` of consecutive documents into one row.  The *key exchange* sends
-each block's distinct 64- or 128-bit keys to shards of the key space and returns one bit per key:
-"this key starts at a second place".  A block sends a key once however often it holds it, so a key
-shared by a third of all rows costs a shard one entry per block.
+each block's distinct 64- or 128-bit keys, with their counts, to shards of the key space and returns the
+total of each key over all blocks, or its class by thresholds.  A block sends a key once however often it
+holds it, so a key shared by a third of all rows costs a shard one entry per block.  A block makes a row for
+each shard that it has keys for.  Beyond ``FAN`` shards the exchange takes two levels, so that the rows do
+not grow as blocks times shards: blocks ask coarse shards, and a relay for each coarse shard and bundle of
+blocks merges what its bundle asks, asks the fine shards, and hands the answers back.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -49,26 +56,28 @@ def partitions(spark: SparkSession) -> int:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests, local mode)."""
+    """The cluster's shared folder; a temporary one only in local mode, where none need be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base
     return base.rstrip("/")
 
 
-_WRITTEN: list[str] = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def stored(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+    """``df`` written to the shared folder and read back.  What is left there goes when the driver's process ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    _WRITTEN.append(path)
+    _WRITTEN.append((spark, path))
     return out
 
 
@@ -82,12 +91,27 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         if path := getattr(df, "_scratch_path", None):
             _delete(df.sparkSession, path)
+            _WRITTEN[:] = [w for w in _WRITTEN if w[1] != path]
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all scratch tables of this process: to be called when its results have been written."""
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
+def written() -> int:
+    """How many scratch tables there are: a mark for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the scratch tables written after a mark, but for ``keep``: their results have been written."""
+    kept = getattr(keep, "_scratch_path", None)
+    for spark, path in _WRITTEN[since:]:
+        if path != kept:
+            _delete(spark, path)
+    _WRITTEN[since:] = [w for w in _WRITTEN[since:] if w[1] == kept]
+
+
+@atexit.register
+def _release_all() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        release()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -146,28 +170,42 @@ def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
 # ---------------------------------------------------------------- key exchange
 
-REQUEST = "shard int, block long, n int, keys binary, flags binary"
-REPLY = "block long, shard int, n int, bits binary"
+REQUEST = "shard int, part int, block long, n int, keys binary, counts binary"
+REPLY = "block long, part int, shard int, n int, totals binary, known long, mass long"
+FAN = 512
+
 
+class Shards(NamedTuple):
+    """The shards of a key space, and how many (coarse) shards blocks ask."""
 
-def shards_for(spark: SparkSession, total_bytes: float) -> int:
-    return max(partitions(spark), math.ceil(total_bytes / SHARD_BYTES), 1)
+    n: int
+    fan: int
 
 
-def _bounds(n_shards: int) -> np.ndarray:
-    return np.array([(i << 64) // n_shards for i in range(1, n_shards)], dtype=np.uint64)
+def shards_for(spark: SparkSession, total_bytes: float) -> Shards:
+    n = max(partitions(spark), math.ceil(total_bytes / SHARD_BYTES), 1)
+    return Shards(n, n if n <= FAN else math.isqrt(n - 1) + 1)
 
 
-def cut(first: np.ndarray, n_shards: int) -> np.ndarray:
-    """Slice ends of the sorted keys ``first`` by shard: ``n_shards + 1`` offsets."""
-    return np.concatenate([[0], np.searchsorted(first, _bounds(n_shards), side="left"), [len(first)]]).astype(np.int64)
+def shard_of(first: np.ndarray, n_shards: int) -> np.ndarray:
+    """The shard of each key, by the key's first 64 bits and in their order."""
+    return (first >> np.uint64(33)).astype(np.int64) * n_shards >> 31
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """keys: (n, w) of uint64.  Sorted distinct rows, the inverse, and whether a row came twice."""
+def slices(numbers: np.ndarray) -> list[tuple[int, int, int]]:
+    """(number, start, end) of the runs of equal numbers."""
+    if not len(numbers):
+        return []
+    ends = np.concatenate([np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]])
+    starts = np.concatenate([[0], ends[:-1]])
+    return list(zip(numbers[starts].tolist(), starts.tolist(), ends.tolist()))
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """keys: (n, w) of uint64.  Sorted distinct rows, and the inverse."""
     n = len(keys)
     if not n:
-        return keys, np.zeros(0, np.int64), np.zeros(0, bool)
+        return keys, np.zeros(0, np.int64)
     order = np.argsort(keys[:, 0])
     s = keys[order]
     if keys.shape[1] > 1 and ((s[1:, 0] == s[:-1, 0]) & (s[1:] != s[:-1]).any(axis=1)).any():
@@ -175,43 +213,123 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s = keys[order]
     new = np.ones(n, bool)
     new[1:] = (s[1:] != s[:-1]).any(axis=1)
-    group = np.cumsum(new) - 1
     inverse = np.empty(n, np.int64)
-    inverse[order] = group
-    return s[new], inverse, np.bincount(group, minlength=int(group[-1]) + 1) > 1
+    inverse[order] = np.cumsum(new) - 1
+    return s[new], inverse
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct rows of (n, w) keys, and how often each came."""
+    uniq, inverse = distinct(keys)
+    return uniq, np.bincount(inverse, minlength=len(uniq))
+
+
+def _squeezed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _stretched(data: bytes, size: int) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, size))
 
 
-def request_rows(block: int, keys: np.ndarray, twice: np.ndarray, n_shards: int) -> list[dict]:
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys: the first words as differences, byte by byte (the leading bytes are mostly zero)."""
+    steps = np.diff(keys[:, 0], prepend=np.uint64(0)).astype("<u8")
+    first = _squeezed(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return len(first).to_bytes(4, "little") + first + np.ascontiguousarray(keys[:, 1:], "<u8").tobytes()
+
+
+def unpack_keys(data: bytes, n: int, width: int) -> np.ndarray:
+    size = 4 + int.from_bytes(data[:4], "little")
+    flat = np.frombuffer(_stretched(data[4:size], 8 * n), np.uint8)
+    out = np.empty((n, width), np.uint64)
+    out[:, 0] = np.cumsum(np.ascontiguousarray(flat.reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
+    out[:, 1:] = np.frombuffer(data, "<u8", offset=size).reshape(n, width - 1)
+    return out
+
+
+def pack_ints(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 to 2**63, in the least of 1, 2, 4 or 8 bytes that holds them all."""
+    most = int(values.max()) if len(values) else 0
+    size = next(k for k in (1, 2, 4, 8) if most < 1 << (8 * k - (k == 8)))
+    return bytes([size]) + _squeezed(values.astype(f"<u{size}").tobytes())
+
+
+def unpack_ints(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(_stretched(data[1:], data[0] * n), f"<u{data[0]}").astype(np.int64)
+
+
+def request_rows(block: int, keys: np.ndarray, counts: np.ndarray, shards: Shards, part: int = 0) -> list[dict]:
     """Rows of REQUEST for a block's sorted distinct keys."""
-    at = cut(keys[:, 0], n_shards)
     return [
-        {"shard": s, "block": block, "n": int(b - a), "keys": np.ascontiguousarray(keys[a:b]).tobytes(), "flags": np.packbits(twice[a:b]).tobytes()}
-        for s, (a, b) in enumerate(zip(at[:-1], at[1:]))
-        if b > a
+        {"shard": s, "part": part, "block": block, "n": b - a, "keys": pack_keys(keys[a:b]), "counts": pack_ints(counts[a:b])}
+        for s, a, b in slices(shard_of(keys[:, 0], shards.fan))
     ]
 
 
-def answer(requests: DataFrame, width: int) -> DataFrame:
-    """REPLY rows: a bit for each requested key, set if the key occurs at two places or more."""
+def _merged(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the requests of a shard: sorted distinct keys, their sums, each entry's key, and the ends of the requests."""
+    ns = pdf["n"].to_numpy(np.int64)
+    keys = np.concatenate([unpack_keys(k, int(n), width) for k, n in zip(pdf["keys"], ns)])
+    counts = np.concatenate([unpack_ints(c, int(n)) for c, n in zip(pdf["counts"], ns)])
+    uniq, inverse = distinct(keys)
+    # sums are exact below 2**53
+    return uniq, np.bincount(inverse, weights=counts, minlength=len(uniq)).astype(np.int64), inverse, np.cumsum(ns)
+
+
+def _replies(pdf: pd.DataFrame, values: np.ndarray, ends: np.ndarray, known: int, mass: int) -> pd.DataFrame:
+    rest = [0] * (len(pdf) - 1)
+    totals = [pack_ints(values[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())]
+    return pd.DataFrame({"block": pdf["block"].to_numpy(), "part": pdf["part"].to_numpy(), "shard": pdf["shard"].to_numpy(), "n": pdf["n"].to_numpy(), "totals": totals, "known": [known, *rest], "mass": [mass, *rest]})
+
+
+def exchange(requests: DataFrame, shards: Shards, width: int, classes: tuple = (), skip: int | None = None) -> DataFrame:
+    """REPLY rows for REQUEST rows: the total of each requested key, or the number of ``classes`` (rising
+    thresholds) that the total reaches.
+
+    The rows of a shard hold, once, known (its distinct keys with a total above 0) and mass (the sum of their
+    totals); the key ``skip`` counts for neither.
+    """
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        uniq, total, inverse, ends = _merged(pdf, width)
+        own = total > 0 if skip is None else (total > 0) & (uniq[:, 0] != np.uint64(skip))
+        value = np.searchsorted(np.array(classes), total, side="right") if classes else total
+        return _replies(pdf, value[inverse], ends, int(own.sum()), int(total[own].sum()))
+
+    if shards.fan == shards.n:
+        return requests.groupBy("shard", "part").applyInPandas(answer, REPLY)
+    n_bundles = math.ceil(shards.n / shards.fan)
+
+    def relay(pdf: pd.DataFrame) -> pd.DataFrame:
+        uniq, total, _, _ = _merged(pdf, width)
+        number, part = int(pdf["shard"].iloc[0]) * n_bundles + int(pdf["bundle"].iloc[0]), int(pdf["part"].iloc[0])
+        rows = [
+            {"shard": s, "part": part, "block": number, "n": b - a, "keys": pack_keys(uniq[a:b]), "counts": pack_ints(total[a:b])}
+            for s, a, b in slices(shard_of(uniq[:, 0], shards.n))
+        ]
+        return pd.DataFrame(rows)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ns = pdf["n"].to_numpy(np.int64)
-        keys = np.frombuffer(b"".join(pdf["keys"]), dtype=np.uint64).reshape(-1, width)
-        flags = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(pdf["flags"], ns)]).astype(bool)
-        uniq, inverse, twice = distinct(keys)
-        hit = twice | (np.bincount(inverse, weights=flags, minlength=len(uniq)) > 0)
-        bits, ends = hit[inverse], np.cumsum(ns)
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "n": pdf["n"], "bits": [np.packbits(bits[a:b]).tobytes() for a, b in zip([0, *ends], ends)]})
+    def back(asked: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        _, _, inverse, ends = _merged(asked, width)
+        return _replies(asked, totals_of(got)[inverse], ends, int(got["known"].sum()), int(got["mass"].sum()))
 
-    return requests.groupBy("shard").applyInPandas(run, REPLY)
+    held = stored(requests.withColumn("bundle", F.pmod(F.xxhash64("block"), F.lit(n_bundles)).cast("int")), "exchange-held", "none")
+    fine = held.groupBy("shard", "part", "bundle").applyInPandas(relay, REQUEST).groupBy("shard", "part").applyInPandas(answer, REPLY)
+    fine = fine.selectExpr("*", f"cast(block div {n_bundles} as int) as c", "part as p", f"cast(block % {n_bundles} as int) as b")
+    return held.groupBy("shard", "part", "bundle").cogroup(fine.groupBy("c", "p", "b")).applyInPandas(back, REPLY)
 
 
-def bits_of(replies: pd.DataFrame) -> np.ndarray:
-    """A block's replies in key order, as one bool array."""
+def totals_of(replies: pd.DataFrame) -> np.ndarray:
+    """Replies to a block (or relay) in key order, as one array."""
     if not len(replies):
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64)
     r = replies.sort_values("shard")
-    return np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(n)) for b, n in zip(r["bits"], r["n"])]).astype(bool)
+    return np.concatenate([unpack_ints(t, int(n)) for t, n in zip(r["totals"], r["n"])])
 
 
 def per_block(blocks: DataFrame, fn: Callable, schema: str) -> DataFrame:

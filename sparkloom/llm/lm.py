@@ -20,10 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, per_block, shards_for, stored, to_blocks, tune, unpack, with_replies, word_hashes
+from .common import REQUEST, exchange, mix, per_block, request_rows, shards_for, stored, to_blocks, totals_of, tune, unpack, with_replies, word_hashes
 
-ASK = "shard int, ord int, block long, n int, keys binary, counts binary, tokens long"
-GOT = "block long, shard int, ord int, n int, counts binary, distinct long, tokens long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _BLOCK_BYTES = 4 << 20  # larger blocks ask less often for what they share
 _START, _END = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -56,7 +54,7 @@ def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]
     return counts, grams, since
 
 
-def _asks(row, order: int, folds: int, fold: int, n_shards: int) -> list[dict]:
+def _asks(row, order: int, folds: int, fold: int, shards: int) -> list[dict]:
     ids, texts = unpack(row)
     counts, grams, since = _grams(texts, order)
     trained = np.repeat(np.array([not held_out(i, folds, fold) for i in ids]), counts)
@@ -64,81 +62,34 @@ def _asks(row, order: int, folds: int, fold: int, n_shards: int) -> list[dict]:
     for k, g in enumerate(grams, 1):
         real = since >= k - 1
         keys, inverse = np.unique(g[real], return_inverse=True)
-        seen = np.bincount(inverse, weights=trained[real], minlength=len(keys)).astype("<u4")
-        at = cut(keys, n_shards)
-        tokens = int((trained & (since > 0)).sum()) if k == 1 else 0
-        for s, (a, b) in enumerate(zip(at[:-1], at[1:])):
-            if b > a:
-                out.append({"shard": s, "ord": k, "block": int(row.block), "n": int(b - a), "keys": _packed(keys[a:b]), "counts": _small(seen[a:b]), "tokens": tokens})
-                tokens = 0
+        seen = np.bincount(inverse, weights=trained[real], minlength=len(keys)).astype(np.int64)
+        out += request_rows(int(row.block), keys[:, None], seen, shards, k)
     return out
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte: the leading bytes are mostly zero."""
-    import zstandard
-
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    import zstandard
-
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=8 * max(1, n)), np.uint8)
-    return np.cumsum(np.ascontiguousarray(flat.reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
-
-
-def _small(counts: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u4").tobytes())
-
-
-def _large(data: bytes, n: int) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=4 * max(1, n)), "<u4")
-
-
-def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A shard's share of the n-grams: the count of each over all blocks, for every block that asked."""
-    ns = pdf["n"].to_numpy(np.int64)
-    keys = np.concatenate([_unpacked(k, int(n)) for k, n in zip(pdf["keys"], ns)])
-    counts = np.concatenate([_large(c, int(n)) for c, n in zip(pdf["counts"], ns)])
-    uniq, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, weights=counts, minlength=len(uniq)).astype(np.int64)
-    ends = np.cumsum(ns)
-    here = np.minimum(total[inverse], (1 << 32) - 1)
-    start_key = int(mix(np.array([_START + np.uint64(1)]))[0])
-    known = int((total > 0).sum()) - int(((uniq == start_key) & (total > 0)).sum())
-    out = pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "ord": pdf["ord"], "n": pdf["n"], "counts": [_small(here[a:b]) for a, b in zip([0, *ends], ends)]})
-    out["tokens"] = pdf["tokens"]
-    out["distinct"] = [known if pdf["ord"].iloc[0] == 1 else 0, *[0] * (len(out) - 1)]
-    return out
-
-
-def traverse(counts: np.ndarray, seen: list[list[bool]], arcs: list[list[float]], fails: list[list[float]]) -> list[float]:
+def traverse(counts: np.ndarray, seen: np.ndarray, arcs: np.ndarray, fails: np.ndarray) -> np.ndarray:
     """Log-probability of each text of a block, in one pass from left to right.
 
-    The state is the length of the context that the automaton remembers.  At each token it follows failure
-    arcs until an arc carries the token, adds the weights, and moves to the longest context that it knows.
     seen[k], arcs[k], fails[k]: for each place, whether the n-gram of k + 1 tokens that ends there is an arc,
-    its weight, and the weight of the failure arc from the state of length k before it.
+    its weight, and the weight of the failure arc from the state of length k before it.  The state is the length
+    of the context that the automaton remembers; at each token it follows failure arcs until an arc carries
+    the token, adds the weights, and moves to the longest context that it knows.  A training n-gram's parts
+    are training n-grams, so the arc taken is the longest that ends at the token, and never longer than the
+    state that the token before left allows; the pass is therefore a shift by one place and sums.
     """
-    order, at, out = len(seen), 0, []
-    for n in counts.tolist():
-        state, score = (1 if order > 1 and seen[0][at] else 0), 0.0
-        for i in range(at + 1, at + n):
-            k = state
-            while k and not seen[k][i]:
-                score += fails[k][i]
-                k -= 1
-            score += arcs[k][i]
-            state = min(k + 1, order - 1) if seen[k][i] else 0
-        out.append(score)
-        at += n
-    return out
+    order, n = seen.shape
+    starts = np.cumsum(counts) - counts
+    depth = np.zeros(n, np.int64)  # tokens of the longest arc that ends here
+    for k in range(order):
+        depth[seen[k] & (depth == k)] = k + 1
+    state = np.zeros(n, np.int64)
+    state[1:] = np.minimum(depth[:-1], order - 1)
+    taken = np.maximum(depth - 1, 0)  # an unknown token is carried by the empty state
+    score = arcs[taken, np.arange(n)]
+    for k in range(1, order):
+        score = score + np.where((taken < k) & (k <= state), fails[k], 0.0)
+    score[starts] = 0.0
+    return np.add.reduceat(score, starts) if n else np.zeros(0)
 
 
 def lm_scores(docs: DataFrame, order: int = 2, prior: float = 4.0, folds: int = 10, fold: int = 0, add: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,33 +107,28 @@ def lm_scores(docs: DataFrame, order: int = 2, prior: float = 4.0, folds: int =
     tune(spark)
     blocks = stored(to_blocks(docs, id_col, text_col, _BLOCK_BYTES), "lm-blocks", "none")
     size = blocks.agg(F.sum(F.length("payload"))).first()[0] or 0
-    n_shards = shards_for(spark, 2 * order * size)
-    asked = per_block(blocks, lambda row: _asks(row, order, folds, fold, n_shards), ASK)
-    replies = stored(asked.groupBy("shard", "ord").applyInPandas(_totals, GOT), "lm-counts", "none")
-    # the number of trained tokens travels with the first slice of each block
-    tokens, vocabulary = (x or 0 for x in replies.agg(F.sum("tokens"), F.sum("distinct")).first())
+    shards = shards_for(spark, 2 * order * size)
+    asked = per_block(blocks, lambda row: _asks(row, order, folds, fold, shards), REQUEST)
+    replies = stored(exchange(asked, shards, 1, skip=int(mix(np.array([_START + np.uint64(1)]))[0])), "lm-counts", "none")
+    tokens, vocabulary = (x or 0 for x in replies.filter("part = 1").agg(F.sum("mass"), F.sum("known")).first())
 
     def score(row, got):
         ids, texts = unpack(row)
         counts, grams, since = _grams(texts, order)
-        got = got.sort_values("shard")
         totals = []
         for k, g in enumerate(grams, 1):
             real = since >= k - 1
-            own = got[got["ord"] == k]
-            table = np.concatenate([_large(c, int(n)) for c, n in zip(own["counts"], own["n"])]).astype(np.float64)
             c = np.zeros(len(g))
-            c[real] = table[np.unique(g[real], return_inverse=True)[1]]
+            c[real] = totals_of(got[got["part"] == k])[np.unique(g[real], return_inverse=True)[1]]
             totals.append(c)
         base = (totals[0] + add) / (tokens + add * (vocabulary + 1))
-        p, seen, arcs, fails = base, [(totals[0] > 0).tolist()], [np.log10(base).tolist()], [[]]
+        p, arcs, fails = base, [np.log10(base)], [np.zeros(len(base))]
         for k in range(1, order):
             context = np.concatenate([[0.0], totals[k - 1][:-1]])
             p = (totals[k] + prior * p) / (context + prior)
-            seen.append((totals[k] > 0).tolist())
-            arcs.append(np.log10(p).tolist())
-            fails.append(np.log10(prior / (context + prior)).tolist())
-        scores = traverse(counts, seen, arcs, fails)
+            arcs.append(np.log10(p))
+            fails.append(np.log10(prior / (context + prior)))
+        scores = traverse(counts, np.stack(totals) > 0, np.stack(arcs), np.stack(fails))
         starts = np.cumsum(counts) - counts
         token = since > 0
         return pd.DataFrame(

@@ -20,7 +20,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REQUEST, answer, bits_of, covered, distinct, mix, per_block, request_rows, rolling, shards_for, stored, to_blocks, tune, unpack, with_replies, word_hashes
+from .common import REQUEST, counted, covered, distinct, exchange, mix, per_block, request_rows, rolling, shards_for, stored, to_blocks, totals_of, tune, unpack, with_replies, word_hashes
 
 SPANS = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string"
 
@@ -64,34 +64,32 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 24, id_col: s
     tune(spark)
     blocks = stored(to_blocks(docs, id_col, text_col), "substring-blocks", "none")
     size = blocks.agg(F.sum(F.length("payload"))).first()[0] or 0
-    n_shards = shards_for(spark, size)
+    shards = shards_for(spark, size)
 
     def seeds(row):
         _, texts = unpack(row)
         _, hashes, _, ends = _words(texts)
         _, places, grams = _anchored(hashes, ends, window, seed)
-        keys, _, twice = distinct(grams[np.unique(places)][:, None])
-        return request_rows(int(row.block), keys, twice, n_shards)
+        # least hashes are small, and would crowd the first shards
+        return request_rows(int(row.block), *counted(mix(grams[np.unique(places)])[:, None]), shards, 1)
 
-    first = answer(per_block(blocks, seeds, REQUEST), 1)
+    first = exchange(per_block(blocks, seeds, REQUEST), shards, 1, (2,))
     first = stored(first, "substring-anchors")
 
     def extend(row, replies):
         _, texts = unpack(row)
         _, hashes, _, ends = _words(texts)
         starts = _candidates(hashes, ends, window, seed, replies)
-        keys, _, twice = distinct(_pair(hashes, starts, window))
-        return request_rows(int(row.block), keys, twice, n_shards)
+        return request_rows(int(row.block), *counted(_pair(hashes, starts, window)), shards, 2)
 
-    second = stored(answer(with_replies(blocks, first, extend, REQUEST), 2), "substring-windows")
+    second = stored(exchange(with_replies(blocks, first, extend, REQUEST), shards, 2, (2,)), "substring-windows")
 
     def finish(row, replies):
         ids, texts = unpack(row)
         words, hashes, counts, ends = _words(texts)
-        tag = replies["step"].to_numpy() if len(replies) else np.zeros(0)
-        starts = _candidates(hashes, ends, window, seed, replies[tag == 1])
-        _, inverse, _ = distinct(_pair(hashes, starts, window))
-        hit = bits_of(replies[tag == 2])
+        starts = _candidates(hashes, ends, window, seed, replies[replies["part"] == 1])
+        _, inverse = distinct(_pair(hashes, starts, window))
+        hit = totals_of(replies[replies["part"] == 2]) > 0
         gone = covered(starts[hit[inverse]] if len(starts) else starts, window, len(words))
         out, at = [], 0
         for i, n in zip(ids, counts.tolist()):
@@ -104,8 +102,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 24, id_col: s
         df = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "spans", "kept_sha256"])
         return df.astype({"doc_id": "Int64"})
 
-    both = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
-    out = with_replies(blocks, both, finish, SPANS)
+    out = with_replies(blocks, first.unionByName(second), finish, SPANS)
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
 
 
@@ -114,5 +111,5 @@ def _candidates(hashes: np.ndarray, ends: np.ndarray, window: int, seed: int, re
     starts, places, grams = _anchored(hashes, ends, window, seed)
     if not len(starts):
         return starts
-    _, inverse, _ = distinct(grams[places][:, None])
-    return starts[bits_of(replies)[inverse]]
+    _, inverse = distinct(mix(grams[places])[:, None])
+    return starts[(totals_of(replies) > 0)[inverse]]

@@ -7,11 +7,13 @@ operations per bucket.  The reduced string has a large alphabet, for which bucke
 recursion is by rank doubling over the names that still tie.  ``common_prefixes`` computes the permuted
 LCP array from its irreducible values.
 
-The corpus is cut into shards (blocks of documents).  Only text that can repeat in a shard enters its
-array: windows of ``width`` bytes whose anchor, the least hash of their grams, is at two places of it.  A
-shard finds the repeats inside it by its suffix array and permuted LCP.  Across shards,
-the runs of windows that share an anchor are compared as wholes, and where an anchor's runs differ
-between shards, window by window.  Each shard sends a run or a window once, however often it holds it.
+Anchors decide what text meets in a shard: of the grams in a window of ``report`` bytes the one with the least
+hash.  Equal windows have equal anchors, so a string can only repeat if its anchor is at two places.  A run
+is the windows in a row that share such an anchor, with the text that they and the strings of ``width``
+bytes from them cover; all runs of an anchor go to one shard.  There equal runs are one from the start, and
+the shard's suffix array and permuted LCP tell how far each start's text agrees with another start's.  A
+block sends a run once, however often it holds it.  The runs of an anchor at HOT places or more would be too
+much for one shard: their strings are compared by 128-bit hashes, spread over the shards by the hash.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, REPLY, REQUEST, _MULTIPLIERS, answer, bits_of, covered, discard, distinct, mix, per_block, request_rows, rolling, shards_for, stored, to_blocks, tune, unpack, with_replies
+from .common import BLOCK_BYTES, REPLY, REQUEST, counted, discard, distinct, exchange, mix, pack_ints, pack_keys, per_block, request_rows, rolling, shard_of, shards_for, slices, stored, tidy, to_blocks, totals_of, tune, unpack, unpack_ints, unpack_keys, with_replies
 
-SEED_SHARE = 0.75
+GRAM_SHARE = 0.25
+ARRAY_BYTES = 1 << 20
+HOT = 8192
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BYTE2 = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 _SEPARATOR = 255  # no byte of UTF-8
@@ -121,7 +125,7 @@ def _equal_runs(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray
 def _sorted_reduced(names: np.ndarray) -> np.ndarray:
     """Order of the suffixes of the reduced string, by rank doubling over the suffixes that still tie."""
     n = len(names)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     s = names[order]
     first = np.concatenate([[True], s[1:] != s[:-1]])
     rank = np.empty(n, np.int64)
@@ -131,10 +135,10 @@ def _sorted_reduced(names: np.ndarray) -> np.ndarray:
     while tied.any():
         at = np.flatnonzero(tied)
         items = order[at]
-        after = np.where(items + h < n, rank[np.minimum(items + h, n - 1)] + 1, 0)
-        o = np.lexsort((after, rank[items]))
-        items, after, head = items[o], after[o], rank[items[o]]
-        first = np.concatenate([[True], (head[1:] != head[:-1]) | (after[1:] != after[:-1])])
+        key = rank[items] * (n + 1) + np.where(items + h < n, rank[np.minimum(items + h, n - 1)] + 1, 0)
+        o = np.argsort(key)
+        items, key = items[o], key[o]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
         order[at] = items
         rank[items] = np.maximum.accumulate(np.where(first, at, 0))
         tied[at] = ~(first & np.concatenate([first[1:], [True]]))
@@ -191,18 +195,26 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(data: np.ndarray, width: int) -> np.ndarray:
-    """Mask of the places whose next ``width`` bytes also start at another place of ``data``."""
-    n = len(data)
-    if n < width:
-        return np.zeros(n, bool)
+def agreements(texts: list[bytes], starts: list[int]) -> np.ndarray:
+    """For the first starts[k] places of each text k, in turn: the longest prefix of the text from there that also
+    starts at another of these places, of this text or another."""
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    data = np.frombuffer(b"".join(x for t in texts for x in (t, bytes([_SEPARATOR]))), np.uint8)
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    left = np.repeat(ends - 1, lengths) - np.arange(len(data))
+    real = np.arange(len(data)) - np.repeat(begins, lengths) < np.repeat(np.array(starts, np.int64), lengths)
     sa = suffix_array(data)
-    plcp = common_prefixes(data, sa)
-    near = plcp[sa] >= width
-    out = np.zeros(n, bool)
-    out[sa[near]] = True
-    out[sa[np.flatnonzero(near) - 1]] = True
-    return out
+    # what two real places in a row of the array agree in: the least of the steps between them
+    at = np.flatnonzero(real[sa])
+    out = np.zeros(len(data), np.int64)
+    if len(at) > 1:
+        steps = common_prefixes(data, sa)[sa][: at[-1] + 1]
+        between = np.minimum.reduceat(steps, at[:-1] + 1)
+        place = sa[at]
+        out[place[1:]] = between
+        out[place[:-1]] = np.maximum(out[place[:-1]], between)
+    return np.minimum(out, left)[real]
 
 
 # ---------------------------------------------------------------- anchors
@@ -219,59 +231,39 @@ def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: int) -> np.ndarray:
     return op(suffix[: n - w + 1], prefix[w - 1 : n])
 
 
-def _anchors(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the windows inside one text, the anchor of every window, and the grams' hashes."""
-    seed = int(width * SEED_SHARE)
-    grams = rolling(_BYTE[data], seed)
-    least = _sliding(grams, width - seed + 1, np.minimum, (1 << 64) - 1)
-    starts = np.flatnonzero(np.arange(len(least)) + width <= ends[: len(least)])
+    gram = max(1, int(window * GRAM_SHARE))
+    grams = rolling(_BYTE[data], gram)
+    least = _sliding(grams, window - gram + 1, np.minimum, (1 << 64) - 1)
+    starts = np.flatnonzero(np.arange(len(least)) + window <= ends[: len(least)])
     return starts, least, grams
 
 
-def _anchor_keys(starts: np.ndarray, least: np.ndarray, grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct anchors of the windows, and whether an anchor is at two places."""
+def _anchor_keys(starts: np.ndarray, least: np.ndarray, grams: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct anchors of the windows, hashed again (least hashes are small, and would crowd the first shards), and
+    the places of each."""
     if not len(starts):
-        return np.zeros((0, 1), np.uint64), np.zeros(0, bool)
-    w = width - int(width * SEED_SHARE) + 1
+        return np.zeros((0, 1), np.uint64), np.zeros(0, np.int64)
+    w = window - max(1, int(window * GRAM_SHARE)) + 1
     valid = np.zeros(len(least), np.uint64)
     valid[starts] = least[starts]
     pad = np.zeros(w - 1, np.uint64)
     highest = _sliding(np.concatenate([pad, valid, pad]), w, np.maximum, 0)[: len(grams)]
-    keys, _, twice = distinct(grams[highest == grams][:, None])
-    return keys, twice
-
-
-def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which values are among the sorted keys."""
-    if not len(keys):
-        return np.zeros(len(values), bool)
-    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
-
-
-def _range_hash(data: np.ndarray, a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
-    """Hashes of data[a:b] for each pair."""
-    m = np.uint64(_MULTIPLIERS[which])
-    up = np.full(len(data), m)
-    up[0] = 1
-    np.multiply.accumulate(up, out=up)
-    down = np.full(len(data), np.uint64(pow(_MULTIPLIERS[which], -1, 1 << 64)))
-    down[0] = 1
-    np.multiply.accumulate(down, out=down)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate((_BYTE, _BYTE2)[which][data] * up)])
-    return mix(mix((sums[b] - sums[a]) * down[a]) + (b - a).astype(np.uint64))
-
-
-def _window_keys(data: np.ndarray, runs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and 128-bit keys of the windows of runs [first, last]."""
-    if not len(runs):
-        return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-    sizes = runs[:, 1] - runs[:, 0] + 1
-    starts = np.repeat(runs[:, 0] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    spans = sizes + width - 1
-    offset = np.concatenate([[0], np.cumsum(spans)[:-1]])
-    text = data[np.repeat(runs[:, 0] - offset, spans) + np.arange(spans.sum())]
-    at = np.repeat(offset - runs[:, 0], sizes) + starts
-    return starts, np.stack([rolling(_BYTE[text], width, 0)[at], rolling(_BYTE2[text], width, 1)[at]], axis=1)
+    return counted(mix(grams[highest == grams])[:, None])
+
+
+def _window_keys(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """128-bit keys of the strings of ``width`` bytes from sorted ``starts``."""
+    if not len(starts):
+        return np.zeros((0, 2), np.uint64)
+    cuts = np.flatnonzero(np.diff(starts) > 1) + 1
+    first, last = starts[np.concatenate([[0], cuts])], starts[np.concatenate([cuts - 1, [len(starts) - 1]])]
+    spans = last - first + width
+    offset = np.cumsum(spans) - spans
+    text = data[np.repeat(first - offset, spans) + np.arange(spans.sum())]
+    at = np.repeat(offset - first, last - first + 1) + starts
+    return np.stack([rolling(_BYTE[text], width, 0)[at], rolling(_BYTE2[text], width, 1)[at]], axis=1)
 
 
 def _text(row) -> tuple[list, list[bytes], np.ndarray, np.ndarray]:
@@ -284,51 +276,114 @@ def _ints(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x, dtype="<i4").tobytes()
 
 
-def _runs_of(mask_at: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """(first, last) of the runs of sorted places, broken where ``new`` is set."""
-    cuts = np.flatnonzero(new)
-    return np.stack([mask_at[cuts], mask_at[np.concatenate([cuts[1:], [len(mask_at)]]) - 1]], axis=1)
+def _framed(*parts: bytes) -> bytes:
+    return b"".join(x for p in parts for x in (len(p).to_bytes(4, "little"), p))
+
+
+def _unframed(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+def _run_rows(block: int, anchors: np.ndarray, texts: list[bytes], starts: np.ndarray, twice: np.ndarray, fan: int) -> list[dict]:
+    """Rows of REQUEST for a block's distinct runs, in the order of their anchors."""
+    import zstandard
 
+    out = []
+    for s, a, b in slices(shard_of(anchors, fan)):
+        body = zstandard.ZstdCompressor(level=1).compress(b"".join(texts[a:b]))
+        sizes = np.array([len(t) for t in texts[a:b]], np.int64)
+        out.append({"shard": s, "part": _RUNS, "block": block, "n": b - a, "keys": pack_keys(anchors[a:b, None]), "counts": _framed(pack_ints(sizes), pack_ints(starts[a:b]), pack_ints(twice[a:b]), body)})
+    return out
 
-def _compare_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Two bits for each run: another shard holds the same run; shards differ in this anchor's runs."""
-    ns = pdf["n"].to_numpy(np.int64)
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64).reshape(-1, 3)
-    uniq, inverse, twice = distinct(keys)  # a shard sends a run once
-    anchor = np.concatenate([[0], np.cumsum(uniq[1:, 0] != uniq[:-1, 0])])
-    shard_of = np.repeat(np.arange(len(ns)), ns)
-    n_anchors = int(anchor[-1]) + 1
-    group = anchor[inverse]
-    low, high = np.full(n_anchors, len(ns)), np.full(n_anchors, -1)
-    np.minimum.at(low, group, shard_of)
-    np.maximum.at(high, group, shard_of)
-    differ = (np.bincount(anchor, minlength=n_anchors) > 1) & (low < high)
-    bits, ends = np.stack([twice[inverse], differ[group]], axis=1), np.cumsum(ns)
-    return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "n": 2 * pdf["n"], "bits": [np.packbits(bits[a:b].ravel()).tobytes() for a, b in zip([0, *ends], ends)]})
+
+def _judge_runs(pdf: pd.DataFrame, width: int, report: int) -> pd.DataFrame:
+    """For each run that a shard was sent, the ranges of starts from which ``width``, and ``report``, bytes repeat."""
+    import zstandard
+
+    index: dict[bytes, int] = {}
+    anchors, n_starts, twice, places = [], [], [], []
+    for n, keys, rest in zip(pdf["n"], pdf["keys"], pdf["counts"]):
+        sizes, starts, again, body = _unframed(rest)
+        sizes, again = unpack_ints(sizes, n), unpack_ints(again, n)
+        body = zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, int(sizes.sum())))
+        ends = np.cumsum(sizes).tolist()
+        own = []
+        for anchor, a, b, k, more in zip(unpack_keys(keys, n, 1)[:, 0].tolist(), [0, *ends], ends, unpack_ints(starts, n).tolist(), again.tolist()):
+            place = index.setdefault(body[a:b], len(index))
+            if place == len(anchors):
+                anchors.append(anchor)
+                n_starts.append(k)
+                twice.append(more > 0)
+            else:
+                twice[place] = True
+            own.append(place)
+        places.append(own)
+    texts = list(index)
+    order = np.argsort(np.array(anchors, np.uint64), kind="stable")
+    groups = slices(np.array(anchors, np.uint64)[order].view(np.int64))
+    most: list = [None] * len(texts)
+    held: list[int] = []
+    size = 0
+
+    def sort_held() -> None:
+        got = agreements([texts[k] for k in held], [n_starts[k] for k in held])
+        for k, part in zip(held, np.split(got, np.cumsum([n_starts[k] for k in held])[:-1])):
+            # a run that is at two places repeats whole
+            most[k] = np.arange(len(texts[k]), len(texts[k]) - n_starts[k], -1) if twice[k] else part
+
+    for _, a, b in groups:
+        members = order[a:b].tolist()
+        if len(members) == 1 and twice[members[0]]:
+            k = members[0]
+            most[k] = np.arange(len(texts[k]), len(texts[k]) - n_starts[k], -1)
+            continue
+        if held and size + sum(len(texts[k]) for k in members) > ARRAY_BYTES:
+            sort_held()
+            held, size = [], 0
+        held += members
+        size += sum(len(texts[k]) for k in members)
+    if held:
+        sort_held()
+    ranges = [[_ranges(m >= w) for m in most] for w in (width, report)]
+    out = []
+    for own in places:
+        parts = []
+        for r in ranges:
+            mine = [r[k] for k in own]
+            parts += [pack_ints(np.array([len(x) for x in mine], np.int64)), pack_ints(np.concatenate([np.zeros(0, np.int64), *(x.ravel() for x in mine)]))]
+        out.append(_framed(*parts))
+    tidy()
+    return pd.DataFrame({"block": pdf["block"].to_numpy(), "part": _RUNS, "shard": pdf["shard"].to_numpy(), "n": pdf["n"].to_numpy(), "totals": out, "known": 0, "mass": 0})
 
 
-def _repeats_of(data: np.ndarray, at: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
-    """Runs (first, last) of the windows that repeat in the text that the windows from ``at`` cover."""
-    if not len(at):
-        return np.zeros((0, 2), np.int64)
-    far = np.concatenate([[True], (np.diff(at) >= width) | (ends[at[1:]] != ends[at[:-1]])])
-    areas = _runs_of(at, far)
-    glued = np.concatenate([x for a, b in areas for x in (data[a : b + width], np.array([_SEPARATOR], np.uint8))])
-    lengths = areas[:, 1] - areas[:, 0] + width + 1
-    origin = np.repeat(areas[:, 0] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(glued))
-    inside = np.arange(len(glued)) + width < np.repeat(np.cumsum(lengths), lengths)
-    local = origin[repeated_starts(glued, width) & inside]
-    return _runs_of(local, np.concatenate([[True], np.diff(local) > 1])) if len(local) else np.zeros((0, 2), np.int64)
+def _ranges(mask: np.ndarray) -> np.ndarray:
+    """(first, last) of the runs of a mask."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
+    return np.stack([edges[::2], edges[1::2] - 1], axis=1)
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
+def _covered(first: np.ndarray, last: np.ndarray, width: int, n: int) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, first, 1)
+    np.subtract.at(edge, last + width, 1)
+    return np.cumsum(edge[:-1]) > 0
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_STATE, _RUNS, _HOT_WIDTH, _HOT_REPORT = -1, 0, 1, 2
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, spans array<struct<start:long,stop:long>>"
+
+
+def suffix_dedup(docs: DataFrame, width: int = 400, report: int = 256, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every byte that a repeated string of ``width`` bytes covers.
 
     Texts are UTF-8 bytes; strings never cross rows, and are judged on the input.  Returns per row: the id,
-    n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and spans (maximal removed runs,
+    n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes), n_repeated (bytes that a repeated
+    string of ``report`` <= ``width`` bytes covers: those stay in the text) and spans (maximal removed runs,
     [start, stop)).
 
     Null and empty texts have no bytes and the digest of the empty string; shorter texts than ``width`` are
@@ -337,84 +392,95 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     tune(spark)
+    report = min(report, width)
     blocks = stored(to_blocks(docs, id_col, text_col, 2 * BLOCK_BYTES), "suffix-blocks", "none")
     size = blocks.agg(F.sum(F.length("payload"))).first()[0] or 0
-    n_shards = shards_for(spark, size)
+    shards = shards_for(spark, size)
+    run_shards = shards_for(spark, 8 * size).n
 
     def seeds(row):
         _, _, data, ends = _text(row)
-        keys, twice = _anchor_keys(*_anchors(data, ends, width), width)
-        return request_rows(int(row.block), keys, twice, n_shards)
+        return request_rows(int(row.block), *_anchor_keys(*_anchors(data, ends, report), report), shards)
 
-    anchors = stored(answer(per_block(blocks, seeds, REQUEST), 1), "suffix-anchors")
+    anchors = stored(exchange(per_block(blocks, seeds, REQUEST), shards, 1, (2, hot)), "suffix-anchors", "none")
 
-    def sort_shard(row, replies):
+    def send(row, replies):
         _, _, data, ends = _text(row)
-        starts, least, grams = _anchors(data, ends, width)
-        keys, twice = _anchor_keys(starts, least, grams, width)
-        del grams
-        hot = bits_of(replies)
-        at = starts[_among(least[starts], keys[hot, 0])]
-        if not len(at):
+        starts, least, grams = _anchors(data, ends, report)
+        keys, _ = _anchor_keys(starts, least, grams, report)
+        if not len(keys):
             return []
-        gap = np.concatenate([[True], np.diff(at) > 1])
-        # a window repeats inside the shard only if its anchor is at two places of the shard
-        here = at[_among(least[at], keys[hot & twice, 0])]
-        own = _repeats_of(data, here, ends, width)
-        runs = _runs_of(at, gap | np.concatenate([[True], least[at[1:]] != least[at[:-1]]]))
-        prints = np.stack([least[runs[:, 0]], *(_range_hash(data, runs[:, 0], runs[:, 1] + width, i) for i in (0, 1))], axis=1)
-        uniq, place, twice = distinct(prints)
-        state = {"shard": -1, "block": int(row.block), "n": len(own), "keys": _ints(own), "flags": _ints(np.concatenate([runs, place[:, None]], axis=1))}
-        return [state, *request_rows(int(row.block), uniq, twice, n_shards)]
-
-    sorted_ = stored(with_replies(blocks, anchors, sort_shard, REQUEST), "suffix-shards", "none")
+        del grams
+        kind = totals_of(replies)
+        name = mix(least[starts])
+        place = np.minimum(np.searchsorted(keys[:, 0], name), len(keys) - 1)
+        kind = np.where(keys[place, 0] == name, kind[place], 0)
+        many, at = starts[kind == 2], starts[kind == 1]
+        index: dict[bytes, int] = {}
+        run_of, found, n_starts, first = [], [], [], np.zeros(0, np.int64)
+        if len(at):
+            cuts = np.flatnonzero((np.diff(at) > 1) | (least[at[1:]] != least[at[:-1]])) + 1
+            first, last = at[np.concatenate([[0], cuts])], at[np.concatenate([cuts - 1, [len(at) - 1]])]
+            raw = data.tobytes()
+            for a, b, stop, anchor in zip(first.tolist(), last.tolist(), ends[first].tolist(), mix(least[first]).tolist()):
+                text = raw[a : min(b + width, stop)]
+                k = index.setdefault(text, len(index))
+                if k == len(found):
+                    found.append(anchor)
+                    n_starts.append(b - a + 1)
+                run_of.append(k)
+        texts, found = list(index), np.array(found, np.uint64)
+        order = np.argsort(found, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        run_of = np.array(run_of, np.int64)
+        twice = (np.bincount(run_of, minlength=len(texts)) > 1).astype(np.int64)
+        state = {"shard": -1, "part": _STATE, "block": int(row.block), "n": len(first), "keys": _ints(np.stack([first, rank[run_of]], axis=1)), "counts": _ints(many)}
+        out = [state, *_run_rows(int(row.block), found[order], [texts[k] for k in order.tolist()], np.array(n_starts, np.int64)[order], twice[order], run_shards)]
+        for part, w in ((_HOT_WIDTH, width), (_HOT_REPORT, report)):
+            out += request_rows(int(row.block), *counted(_window_keys(data, many[many + w <= ends[many]], w)), shards, part) if len(many) else []
+        return out
+
+    sent = stored(with_replies(blocks, anchors, send, REQUEST), "suffix-runs", "none")
     discard(anchors)
-    state = sorted_.filter("shard < 0").selectExpr("block", "0 as step", "shard", "n", "keys as bits", "flags")
-    whole = stored(sorted_.filter("shard >= 0").groupBy("shard").applyInPandas(_compare_runs, REPLY), "suffix-runs")
-
-    def step(df: DataFrame, k: int) -> DataFrame:
-        return df.selectExpr("block", f"{k} as step", "shard", "n", "bits", "cast(null as binary) as flags")
-
-    def judged(got: pd.DataFrame):
-        """Local runs, all runs, and for each run whether it repeats as a whole or must be looked at by windows."""
-        head = got[got["step"] == 0]
-        if not len(head):
-            none = np.zeros((0, 2), np.int64)
-            return none, none, np.zeros(0, bool), np.zeros(0, bool)
-        own = np.frombuffer(head["bits"].iloc[0], "<i4").reshape(-1, 2).astype(np.int64)
-        runs = np.frombuffer(head["flags"].iloc[0], "<i4").reshape(-1, 3).astype(np.int64)
-        bits = bits_of(got[got["step"] == 1]).reshape(-1, 2)[runs[:, 2]]
-        return own, runs[:, :2], bits[:, 0], bits[:, 1]
-
-    def windows(row, got):
-        _, _, data, _ = _text(row)
-        _, runs, _, differ = judged(got)
-        keys, _, twice = distinct(_window_keys(data, runs[differ], width)[1])
-        return request_rows(int(row.block), keys, twice, n_shards)
-
-    held = state.unionByName(step(whole, 1))
-    by_window = stored(answer(with_replies(blocks, held, windows, REQUEST), 2), "suffix-windows")
+    state = sent.filter(F.col("part") == _STATE).selectExpr("block", "part", "shard", "n", "keys as totals", "0L as known", "0L as mass", "counts as many")
+    # the number of tasks goes by the work, which the bytes say little about
+    judged = sent.filter(F.col("part") == _RUNS).repartition(run_shards, "shard").groupBy("shard").applyInPandas(lambda pdf: _judge_runs(pdf, width, report), REPLY)
+    by_hash = exchange(sent.filter(F.col("part") > _RUNS), shards, 2, (2,))
+    answers = stored(judged.unionByName(by_hash).withColumn("many", F.lit(None).cast("binary")), "suffix-judged", "none")
 
     def finish(row, got):
-        ids, texts, data, _ = _text(row)
-        own, runs, again, differ = judged(got)
-        starts, keys = _window_keys(data, runs[differ], width)
-        _, inverse, _ = distinct(keys)
-        starts = starts[bits_of(got[got["step"] == 2])[inverse]] if len(starts) else starts
-        edge = np.zeros(len(data) + 1, np.int32)
-        for first, last in (own.T, runs[again].T, (starts, starts)):
-            np.add.at(edge, first, 1)
-            np.subtract.at(edge, last + width, 1)
-        gone = np.cumsum(edge[:-1]) > 0
+        ids, texts, data, ends = _text(row)
+        marks = [np.zeros((0, 2), np.int64)] * 2
+        head = got[got["part"] == _STATE]
+        if len(head):
+            first, run = np.frombuffer(head["totals"].iloc[0], "<i4").reshape(-1, 2).astype(np.int64).T
+            many = np.frombuffer(head["many"].iloc[0], "<i4").astype(np.int64)
+            replies = [_unframed(x) for x in got[got["part"] == _RUNS].sort_values("shard")["totals"]]
+            ns = got[got["part"] == _RUNS].sort_values("shard")["n"].tolist()
+            for i, (w, part) in enumerate(((width, _HOT_WIDTH), (report, _HOT_REPORT))):
+                counts = np.concatenate([np.zeros(0, np.int64), *(unpack_ints(r[2 * i], n) for r, n in zip(replies, ns))])
+                pairs = [unpack_ints(r[2 * i + 1], 2 * int(unpack_ints(r[2 * i], n).sum())) for r, n in zip(replies, ns)]
+                pairs = np.concatenate([np.zeros(0, np.int64), *pairs]).reshape(-1, 2)
+                offset = np.cumsum(counts) - counts
+                take = counts[run]
+                which = np.repeat(offset[run] - (np.cumsum(take) - take), take) + np.arange(take.sum())
+                marks[i] = pairs[which] + np.repeat(first, take)[:, None]
+                own = many[many + w <= ends[many]] if len(many) else many
+                if len(own):
+                    hit = own[(totals_of(got[got["part"] == part]) > 0)[distinct(_window_keys(data, own, w))[1]]]
+                    marks[i] = np.concatenate([marks[i], np.stack([hit, hit], axis=1)])
+        gone, repeated = (_covered(m[:, 0], m[:, 1], w, len(data)) for m, w in zip(marks, (width, report)))
         out, at = [], 0
         for i, t in zip(ids, texts):
             mask = gone[at : at + len(t)]
             k = int(mask.sum())
             edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))) if k else np.zeros(0, np.int64)
             kept = data[at : at + len(t)][~mask].tobytes() if k else t
-            out.append((i, len(t), k, len(edges) // 2, hashlib.sha256(kept).hexdigest(), [{"start": int(a), "stop": int(b)} for a, b in zip(edges[::2], edges[1::2])]))
+            spans = [{"start": int(a), "stop": int(b)} for a, b in zip(edges[::2], edges[1::2])]
+            out.append((i, len(t), k, len(edges) // 2, hashlib.sha256(kept).hexdigest(), int(repeated[at : at + len(t)].sum()), spans))
             at += len(t)
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"doc_id": "Int64"})
 
-    out = with_replies(blocks, held.unionByName(step(by_window, 2)), finish, OUT)
+    out = with_replies(blocks, state.unionByName(answers), finish, OUT)
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
