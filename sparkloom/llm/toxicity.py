@@ -32,7 +32,7 @@ _STEPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a + b <= 4] + [(1, 1,
 _BITS = 18
 _PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 SAMPLE_ROWS = 5000  # labelled texts that the machine is trained on, at most about this many
-SAMPLE_CHARS = 100_000  # longer texts are scored, but not used for training
+SAMPLE_CHARS = 20_000  # longer texts are scored, but not used for training: the driver holds 100 million characters at most
 LANDMARKS = 128
 
 
@@ -161,7 +161,7 @@ def train(texts: pa.Array, labels: np.ndarray) -> dict:
     if "scale" not in model:
         units, index, bounds = units_of(texts.filter(pa.array(rest)))
         best, _ = _witnesses(margins(units, model), index, bounds, model["bias"])
-        model["scale"] = platt(np.clip(best, -3, 3), labels[rest].astype(float))
+        model["scale"] = platt(_certain(best), labels[rest].astype(float))
     return model
 
 
@@ -230,23 +230,32 @@ def _machine(texts: pa.Array, labels: np.ndarray, rounds: int = 3) -> dict:
     return {"table": model["table"].astype(np.float32), "bias": model["bias"]}
 
 
+def _certain(margin: np.ndarray) -> np.ndarray:
+    """Margins for the calibration.  The machine asks for 1; what lies beyond that says no more than that a unit is
+    spelt as in training, and would push the spellings with an inserted byte, near 1/2, below the threshold."""
+    return np.clip(margin, -3, 1.25)
+
+
 def score(texts: pa.Array, model: dict) -> np.ndarray:
     units, index, bounds = units_of(texts)
     best, _ = _witnesses(margins(units, model), index, bounds, model["bias"])
     a, b = model["scale"]
-    return sigmoid(a * np.clip(best, -3, 3) + b)
+    return sigmoid(a * _certain(best) + b)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str, text_col: str, extra: tuple = ()) -> DataFrame:
-    """About ``rows`` labelled texts, as many of either class where there are enough, chosen by a hash of the id.
+def sampled_ids(labels: DataFrame, label: str, rows: int, id_col: str) -> DataFrame:
+    """(_id, _label) of about ``rows`` labelled ids, as many of either class where there are enough, chosen by a hash."""
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).filter("_label in (0, 1) and _id is not null").groupBy("_id").agg(F.max("_label").alias("_label"))
+    limit = {r["_label"]: int(min(1.0, rows / 2 / r["n"]) * ((1 << 63) - 1024)) for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    draw = F.xxhash64(F.col("_id"), F.lit(17)).bitwiseAND(F.lit((1 << 63) - 1))
+    return known.filter(draw <= F.when(F.col("_label") == 1, F.lit(limit.get(1, 0))).otherwise(F.lit(limit.get(0, 0))))
 
-    The ids and labels (24 bytes a row, about ``rows`` rows) are broadcast, so that no text is shuffled.
-    """
-    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).filter(f"_label in (0, 1) and _id is not null").groupBy("_id").agg(F.max("_label").alias("_label"))
-    share = {r["_label"]: min(1.0, rows / 2 / r["n"]) for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    pick = F.pmod(F.xxhash64(F.col("_id"), F.lit(17)), F.lit(1_000_000)) < 1_000_000 * F.when(F.col("_label") == 1, F.lit(share.get(1, 0.0))).otherwise(F.lit(share.get(0, 0.0)))
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """The texts of ``sampled_ids``.  The ids and labels (24 bytes a row, about ``rows`` rows) are broadcast, so that
+    no text is shuffled."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text, *extra).filter(F.length("_text") <= SAMPLE_CHARS).join(F.broadcast(known.filter(pick)), "_id")
+    return docs.select(F.col(id_col).cast("long").alias("_id"), text).filter(F.length("_text") <= SAMPLE_CHARS).join(F.broadcast(sampled_ids(labels, label, rows, id_col)), "_id")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
