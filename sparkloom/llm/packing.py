@@ -65,6 +65,11 @@ class WordTokens:
         ids = [self.whole(w) for w in words]
         return np.concatenate([np.zeros(0, "<u4"), *ids]), np.array([len(x) for x in ids], np.int64)
 
+    def apart(self, stem: str) -> bool:
+        """Whether a stem is letters alone for the tokenizer too: the lower case of a capital I with a dot ends in a
+        combining mark, which the pattern joins to the punctuation after it."""
+        return stem.isalpha() and (self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(stem).isalpha())
+
     def pieces(self, words: pa.Array, extra: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
         """Of distinct words: all pieces' ids and sizes, each word's stem and tail as pieces, and the number of the
         end id's piece, which the pieces of ``extra`` follow.  The piece before it is empty."""
@@ -78,7 +83,7 @@ class WordTokens:
         letters: dict[str, int] = {}
         odd: dict[str, int] = {}
         tails: dict[str, int] = {}
-        other = [(0, letters.setdefault(r, len(letters))) if r.isalpha() else (1, odd.setdefault(w, len(odd))) for w, r in zip(names, roots)]
+        other = [(0, letters.setdefault(r, len(letters))) if self.apart(r) else (1, odd.setdefault(w, len(odd))) for w, r in zip(names, roots)]
         cut = pc.binary_length(stems).to_numpy(zero_copy_only=False)
         long = np.flatnonzero((cut < pc.binary_length(words).to_numpy(zero_copy_only=False)))
         tail_of = [tails.setdefault(w[len(s) :], len(tails)) for w, s in zip(words.take(pa.array(long)).to_pylist(), stems.take(pa.array(long)).to_pylist())]
