@@ -25,6 +25,7 @@ from .common import partitions, stored, tune
 from .components import components
 
 CHUNK = 4096
+_ROUNDING = 1e-5  # of a squared distance: turned vectors travel in single precision
 _SLACK = 1e-4  # of a squared distance: single precision is only used to propose candidates
 
 
@@ -62,18 +63,23 @@ def _printed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, "vec_id long, dims int, fp1 long, fp2 long, vec binary")
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision whatever their scale."""
+    scaled = x / np.abs(x).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def _placed(classes: DataFrame, n_blocks: int) -> DataFrame:
     """A row per class and block: (dims, part, coord, rep, weight, vec, turned)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dims, g in pdf.groupby("dims"):
-                x = np.frombuffer(b"".join(g["vec"]), "<f8").reshape(-1, dims)
-                scaled = x / np.abs(x).max(axis=1, keepdims=True)
-                turned = (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)) @ _rotation(int(dims))
-                rows = [t.tobytes() for t in turned]
+                unit = _unit(np.frombuffer(b"".join(g["vec"]), "<f8").reshape(-1, dims))
+                turned = unit @ _rotation(int(dims))
+                rows, units = [t.tobytes() for t in turned.astype("<f4")], [u.tobytes() for u in unit]
                 for b, part in enumerate(_parts(int(dims), n_blocks)):
-                    yield pd.DataFrame({"dims": dims, "part": b, "coord": turned[:, part.start], "rep": g["rep"].to_numpy(), "weight": g["weight"].to_numpy(), "vec": g["vec"].to_numpy(), "turned": rows})
+                    yield pd.DataFrame({"dims": dims, "part": b, "coord": turned[:, part.start], "rep": g["rep"].to_numpy(), "weight": g["weight"].to_numpy(), "vec": units, "turned": rows})
 
     return classes.select("dims", "rep", "weight", "vec").mapInPandas(run, "dims int, part int, coord double, rep long, weight long, vec binary, turned binary")
 
@@ -112,10 +118,10 @@ def _tile(row, n_blocks: int, threshold: float) -> list[tuple]:
     ids = [np.frombuffer(x, "<i8") for x in (row.ids, row.ids2)]
     weights = [np.frombuffer(x, "<i8") for x in (row.weights, row.weights2)]
     vecs = [np.frombuffer(x, "<f8").reshape(-1, dims) for x in (row.vecs, row.vecs2)]
-    turned = [np.frombuffer(x, "<f8").reshape(-1, dims) for x in (row.turned, row.turned2)]
-    norms = [np.sqrt(np.einsum("ij,ij->i", v, v)) for v in vecs]
+    # which block a pair counts in is told by the same single-precision numbers in every block
+    turned = [np.frombuffer(x, "<f4").reshape(-1, dims).astype(np.float64) for x in (row.turned, row.turned2)]
     parts = _parts(dims, n_blocks)
-    budgets = [(2 - 2 * threshold) * (p.stop - p.start) / dims + 1e-9 for p in parts]
+    budgets = [(2 - 2 * threshold) * (p.stop - p.start) / dims + _ROUNDING for p in parts]
     own, budget = parts[row.part], budgets[row.part]
     left, right = turned[0][:, own], turned[1][:, own]
     half = np.einsum("ij,ij->i", right, right) / 2
@@ -131,7 +137,7 @@ def _tile(row, n_blocks: int, threshold: float) -> list[tuple]:
         for t in range(0, len(i), 1 << 16):
             p, q = i[t : t + (1 << 16)], j[t : t + (1 << 16)]
             dots = np.einsum("ij,ij->i", vecs[0][p], vecs[1][q])
-            ok = dots >= threshold * norms[0][p] * norms[1][q]
+            ok = dots >= threshold
             p, q = p[ok], q[ok]
             gap = (turned[0][p] - turned[1][q]) ** 2
             first = np.full(len(p), -1)
@@ -182,8 +188,8 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, n_blocks: i
     placed = stored(_placed(classes, n_blocks), "embed-placed")
     n_parts = max(n_blocks * math.ceil(max(n, 1) / CHUNK), 1)
     chunks = stored(_chunked(placed.repartitionByRange(n_parts, "dims", "part", "coord", "rep").sortWithinPartitions("dims", "part", "coord", "rep")), "embed-chunks")
-    width = math.sqrt((2 - 2 * threshold) / n_blocks) + 1e-6
-    reach = F.sqrt(F.lit(2 - 2 * threshold) * F.ceil(F.col("dims") / n_blocks) / F.col("dims")) + 1e-6
+    width = math.sqrt((2 - 2 * threshold) / n_blocks + _ROUNDING) + 1e-6
+    reach = F.sqrt(F.lit(2 - 2 * threshold) * F.ceil(F.col("dims") / n_blocks) / F.col("dims") + _ROUNDING) + 1e-6
     meta = chunks.select("cid", "dims", "part", "lo", "hi")
     slots = F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") + reach) / width))
     left = meta.withColumn("slot", F.explode(slots)).withColumn("reach", reach)

@@ -5,8 +5,8 @@ other.  A queued copy's virtual finish time is the source's cumulative size up t
 source's target.  Copies leave in order of finish time until the total budget is spent; as the targets
 add up to the budget, each source leaves off near its own target.
 
-Both running sums (within a source, and over all copies) are taken in two steps: sums of buckets, a
-running sum over the buckets, and a running sum inside each bucket.  Buckets follow the shuffling hash
+Both running sums (within a source, and over all copies) are taken in three steps: sums of buckets and of
+wide buckets of them, running sums over either, and a running sum inside each bucket.  Buckets follow the shuffling hash
 or the finish time, so a source with a third of all rows is as many buckets as its size asks for.
 """
 
@@ -22,6 +22,7 @@ from .common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 ROWS_PER_BUCKET = 4096
+BUCKETS = 4096  # in a wide bucket
 
 
 def word_count(text: Column) -> Column:
@@ -50,11 +51,21 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return s.withColumn("level", level).select("source", "source_size", F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("full")).otherwise(F.col("level") * F.col("weight")).alias("target"), "budget")
 
 
-def _running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
-    """Running sum of ``value`` by ``keys`` in order of ``bucket`` and then ``order``; null keys are groups too."""
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(bucket).alias("_bucket"), before.alias("_before"))
+def _running(df: DataFrame, keys: list[str], bucket: str, wide: Column, order: list[Column], value: str, out: str) -> DataFrame:
+    """Running sum of ``value`` by ``keys`` in order of ``bucket`` and then ``order``; null keys are groups too.
+
+    The sums of the buckets are summed up in two steps themselves, by ``wide`` buckets of up to BUCKETS.
+    """
+    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum")).withColumn("_wide", wide)
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    tops = sums.groupBy(*keys, "_wide").agg(F.sum("_sum").alias("_sum"))
+    tops = tops.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_wide").alias("_top"), F.coalesce(F.sum("_sum").over(upto(*keys).orderBy("_wide")), F.lit(0)).alias("_base"))
+    inner = F.coalesce(F.sum("_sum").over(upto(*keys, "_wide").orderBy(bucket)), F.lit(0))
+    same = F.col("_wide") == F.col("_top")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    sums = sums.withColumn("_inner", inner).join(tops, same)
+    sums = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(bucket).alias("_bucket"), (F.col("_inner") + F.col("_base")).alias("_before"))
     on = F.lit(True) & (F.col(bucket) == F.col("_bucket"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -91,7 +102,7 @@ def _taken(rows: DataFrame, share: float, cap: int, seed: str) -> DataFrame:
     q = rows.withColumn("shuffle", F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))).withColumn("bucket", F.substring("shuffle", 1, digits))
     q = q.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     order = [F.col("shuffle"), F.col("doc_id").asc_nulls_first(), F.col("size")]
-    q = _running(q, ["source"], "bucket", order, "size", "upto")
+    q = _running(q, ["source"], "bucket", F.substring("bucket", 1, max(1, digits - 3)), order, "size", "upto")
     # copy 0 ends at upto, copy 1 at upto + source_size, and so on
     keys = [*rows.columns, "source_size", "target", "budget", "shuffle", "upto"]
     copies = q.filter("size > 0").select(*keys, F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("copy"))
@@ -99,7 +110,7 @@ def _taken(rows: DataFrame, share: float, cap: int, seed: str) -> DataFrame:
     slots = max(1, math.ceil(n * cap / ROWS_PER_BUCKET))
     copies = copies.withColumn("slot", F.floor(F.least(F.col("finish"), F.lit(float(cap))) * slots).cast("long"))
     leaving = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("copy"), *order]
-    copies = _running(copies, [], "slot", leaving, "size", "spent")
+    copies = _running(copies, [], "slot", F.floor(F.col("slot") / BUCKETS).cast("long"), leaving, "size", "spent")
     # a source's running sum tells its rows with a size apart
     mixed = copies.groupBy(*keys).agg(F.count_if(F.col("spent") <= F.col("budget")).alias("copies"))
     out = [*rows.columns, "source_size", "target", "copies"]
