@@ -39,8 +39,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stored(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        mark = common.written()
+        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        common.release(mark, keep=docs)  # what the stage wrote on its way
+    return STAGES[-1][1](spark, docs, sf_dir)
