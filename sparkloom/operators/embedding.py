@@ -31,9 +31,9 @@ def hashing_embedder(dims: int = 32, version: int = 1):
 
 def embed(docs: DataFrame, provider, version: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Embedding records with their lineage: equal texts are embedded once."""
-    texts = docs.select(F.col(text_col).alias("_text")).distinct().withColumn("embedding", provider(F.col("_text")))
+    texts = docs.select(F.col(text_col).alias("_key")).distinct().withColumn("embedding", provider(F.col("_key")))
     rows = docs.select(id_col, F.col(text_col).alias("_text"))
-    return rows.join(texts, "_text").select(id_col, F.lit(text_col).alias("source_field"), F.lit(version).alias("model_version"), F.sha2(F.col("_text"), 256).alias("text_hash"), "embedding")
+    return rows.join(texts, F.col("_text").eqNullSafe(F.col("_key"))).select(id_col, F.lit(text_col).alias("source_field"), F.lit(version).alias("model_version"), F.sha2(F.col("_text"), 256).alias("text_hash"), "embedding")
 
 
 def stale(records: DataFrame, docs: DataFrame, version: int, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:

@@ -38,14 +38,25 @@ def compile_filter(tree: dict) -> Column:
     if op == "is_not_null":
         return field(arg).isNotNull()
     if op == "nested":
-        path, inner = arg
-        (leaf, (name, *rest)), = inner.items()
-        return compile_filter({leaf: [f"{path}:$.{name}" if ":" not in path else f"{path}.{name}", *rest]})
+        return compile_filter(_below(*arg))
     if op in _COMPARE:
         return _COMPARE[op](field(arg[0]), arg[1])
     raise ValueError(f"no such filter: {op}")
 
 
+def _below(path: str, tree: dict) -> dict:
+    """A tree whose fields lie below a JSON column, or a path in one."""
+    (op, arg), = tree.items()
+    inside = lambda name: f"{path}:$.{name}" if ":" not in path else f"{path}.{name}"
+    if op in ("and", "or"):
+        return {op: [_below(path, x) for x in arg]}
+    if op == "not":
+        return {op: _below(path, arg)}
+    if op == "nested":
+        return _below(inside(arg[0]), arg[1])
+    return {op: inside(arg)} if op in ("is_null", "is_not_null") else {op: [inside(arg[0]), *arg[1:]]}
+
+
 def run_query(table: DataFrame, query: dict | str) -> DataFrame:
     """source, then filter, projection, sort, offset and limit, in that order."""
     q = json.loads(query) if isinstance(query, str) else query

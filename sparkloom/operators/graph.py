@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.sources.scratch import cut
@@ -36,11 +36,32 @@ def expand(rows: DataFrame, edges: DataFrame, at: str = "id", direction: str = "
     return rows.join(e, F.col(at) == F.col("_src"), "left" if optional else "inner").drop("_src")
 
 
-def traverse(start: DataFrame, edges: DataFrame, max_depth: int, direction: str = "out", kinds: list[str] | None = None, nodes: DataFrame | None = None) -> DataFrame:
+def get_node(nodes: DataFrame, node_id: str) -> DataFrame:
+    return nodes.filter(F.col("id") == node_id)
+
+
+def get_edges(edges: DataFrame, src: str, dst: str, kind: str | None = None) -> DataFrame:
+    return scan_edges(edges.filter((F.col("src") == src) & (F.col("dst") == dst)), kind)
+
+
+def put_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes created, or replaced where the id exists."""
+    return nodes.join(new.select("id"), "id", "left_anti").unionByName(new.select(*nodes.columns))
+
+
+def put_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges created, or replaced where (src, dst, type) exists; an edge needs both its nodes, others are left out."""
+    ids = nodes.select("id").distinct()
+    sound = new.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
+    return edges.join(sound.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti").unionByName(sound.select(*edges.columns))
+
+
+def traverse(start: DataFrame, edges: DataFrame, max_depth: int, direction: str = "out", kinds: list[str] | None = None, nodes: DataFrame | None = None, edge_filter: Column | None = None) -> DataFrame:
     """(id, depth): every node within ``max_depth`` hops of ``start`` (id), at its least depth.
 
-    With ``nodes``, a hop only reaches nodes that are in it.
+    With ``nodes``, a hop only reaches nodes that are in it; with ``edge_filter``, it only takes edges that satisfy it.
     """
+    edges = edges if edge_filter is None else edges.filter(edge_filter)
     e = directed(edges, direction, kinds).select("src", "dst")
     seen = start.select("id").distinct().withColumn("depth", F.lit(0))
     frontier = seen
@@ -91,18 +112,20 @@ _NODE = re.compile(r"\((\w+)(?::(\w+))?\)")
 _EDGE = re.compile(r"(<?)-\[(?:(\w+))?(?::(\w+))?\]-(>?)")
 
 
-def match(nodes: DataFrame, edges: DataFrame, pattern: str, returns: list[str] | None = None) -> DataFrame:
+def match(nodes: DataFrame, edges: DataFrame, pattern: str, returns: list[str] | None = None, where: dict[str, Column] | None = None) -> DataFrame:
     """Rows of node ids, a column per variable, for a pattern such as ``(a:Customer)-[:PLACED]->(b:Order)``.
 
-    Edges may repeat within a match.  A variable that occurs again must be the same node.
+    Edges may repeat within a match.  A variable that occurs again must be the same node.  ``where`` holds, by
+    variable, a condition on that node's columns; it applies before the joins.
     """
     text, at = pattern.replace(" ", ""), 0
     node = _NODE.match(text, at)
     if not node:
         raise ValueError(f"not a pattern: {pattern}")
 
-    def labelled(label: str | None, name: str) -> DataFrame:
-        return scan_nodes(nodes, label).select(F.col("id").alias(name))
+    def labelled(label: str | None, name: str, as_: str | None = None) -> DataFrame:
+        found = scan_nodes(nodes, label)
+        return (found.filter(where[name]) if where and name in where else found).select(F.col("id").alias(as_ or name))
 
     here = node[1]
     rows, bound, at = labelled(node[2], here), {here}, node.end()
@@ -116,8 +139,8 @@ def match(nodes: DataFrame, edges: DataFrame, pattern: str, returns: list[str] |
         there = name if name not in bound else f"_{name}_again"
         rows = expand(rows, edges, here, direction, [edge[3]] if edge[3] else None, there)
         rows = rows.withColumnRenamed(f"{there}_type", edge[2]) if edge[2] else rows.drop(f"{there}_type")
-        if after[2]:
-            rows = rows.join(labelled(after[2], there), there, "left_semi")
+        if after[2] or (where and name in where):
+            rows = rows.join(labelled(after[2], name, there), there, "left_semi")
         if there != name:
             rows = rows.filter(F.col(there) == F.col(name)).drop(there)
         bound.add(name)

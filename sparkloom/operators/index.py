@@ -65,3 +65,32 @@ def update(index: DataFrame, rows: DataFrame) -> DataFrame:
 def stats(index: DataFrame) -> DataFrame:
     width = F.octet_length(F.col("indexed_value").cast("string")) + F.octet_length(F.col("primary_key").cast("string"))
     return index.agg(F.count("*").alias("entries"), F.sum(width).cast("long").alias("bytes"), F.round(F.avg(width), 6).alias("avg_entry_bytes"), F.countDistinct("indexed_value").alias("distinct_values"))
+
+
+def get(index: DataFrame, primary_key) -> DataFrame:
+    """The entries of a primary key."""
+    return index.filter(F.col("primary_key") == F.lit(primary_key))
+
+
+def delete(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """The index without the entries of some primary keys (primary_key)."""
+    return index.join(keys.select("primary_key"), "primary_key", "left_anti").select(*index.columns)
+
+
+def build_composite(table: DataFrame, values: list[str], primary_key: str) -> DataFrame:
+    """An index over several columns, in their order; entries with a null in any are left out."""
+    out = table.select(F.struct(*values).alias("indexed_value"), F.col(primary_key).alias("primary_key"))
+    return out.filter(" and ".join(f"indexed_value.{c} is not null" for c in values))
+
+
+class HashIndex:
+    """An index for exact look-ups alone."""
+
+    def __init__(self, index: DataFrame):
+        self.index = index
+
+    def exact(self, value) -> DataFrame:
+        return exact(self.index, value)
+
+    def range_scan(self, keys: KeyRange) -> DataFrame:
+        raise TypeError("a hash index has no order: ranges need an ordered index")

@@ -90,11 +90,25 @@ def shard_stats(table: DataFrame, key: str = "k", value: str = "v", shard: str =
     return table.groupBy(shard).agg(F.count("*").alias("key_count"), F.sum(F.octet_length(key) + F.octet_length(value)).cast("long").alias("data_bytes"))
 
 
+def checked_keys(rows: DataFrame, key: str = "k") -> DataFrame:
+    """``rows``; reading them raises at a key that may not be stored."""
+    bad = F.raise_error(F.concat(F.lit("invalid key: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return rows.withColumn(key, F.when(F.coalesce(valid_key(F.col(key).cast("string")), F.lit(False)), F.col(key)).otherwise(bad.cast(rows.schema[key].dataType)))
+
+
 def put(table: DataFrame, rows: DataFrame, key: str = "k", order: str | None = None) -> DataFrame:
-    """The table with ``rows`` written over it; of rows with one key the last by ``order`` wins."""
+    """The table with ``rows`` written over it; of rows with one key the last by ``order`` wins.
+
+    Invalid keys raise when the result is read, and so do keys that come twice without an ``order``.
+    """
+    rest = [c for c in rows.columns if c not in (key, order)]
+    rows = checked_keys(rows, key)
     if order:
-        rows = rows.groupBy(key).agg(*(F.max_by(c, order).alias(c) for c in rows.columns if c not in (key, order)))
-    rows = rows.filter(valid_key(F.col(key).cast("string")))
+        rows = rows.groupBy(key).agg(*(F.max_by(c, order).alias(c) for c in rest))
+    else:
+        n, twice = F.col("_n"), F.raise_error(F.concat(F.lit("key written twice without an order: "), F.col(key).cast("string")))
+        rows = rows.groupBy(key).agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in rest))
+        rows = rows.withColumn(key, F.when(n == 1, F.col(key)).otherwise(twice.cast(table.schema[key].dataType))).drop("_n")
     return table.join(rows.select(key), key, "left_anti").unionByName(rows.select(*table.columns))
 
 
@@ -102,6 +116,11 @@ def delete(table: DataFrame, keys: DataFrame, key: str = "k") -> DataFrame:
     return table.join(keys.select(key), key, "left_anti")
 
 
+def delete_one(table: DataFrame, value, key: str = "k") -> tuple[DataFrame, DataFrame]:
+    """The table without a key, and whether the key was there."""
+    return table.filter(F.col(key) != F.lit(value)), exists(table, value, key)
+
+
 def delete_count(table: DataFrame, keys: DataFrame, key: str = "k") -> DataFrame:
     """How many of the keys existed."""
     return table.join(keys.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("deleted"))

@@ -96,3 +96,27 @@ class Transaction:
 def overlay(base: DataFrame, pending: DataFrame, key: str = "k") -> DataFrame:
     """``base`` as a transaction with the pending writes (null: delete) sees it."""
     return base.join(pending.select(key), key, "left_anti").unionByName(pending.filter("v is not null").select(*base.columns))
+
+
+def read_committed(log: DataFrame, key: str = "k") -> DataFrame:
+    """What a read-committed transaction sees at each statement: the newest committed version of each key."""
+    newest = log.agg(F.max("commit_ts")).first()[0]
+    return snapshot(log, newest, key) if newest is not None else log.limit(0)
+
+
+def watermark(snapshots: DataFrame) -> DataFrame:
+    """The time up to which versions may be collected: the least of the open snapshots (ts, open)."""
+    return snapshots.filter("open").agg(F.min("ts").alias("watermark"))
+
+
+def with_retry(run, most: int = 3, wait: float = 0.01):
+    """``run()``, again after a conflict up to ``most`` times, waiting longer each time."""
+    import time
+
+    for turn in range(most + 1):
+        try:
+            return run()
+        except Conflict:
+            if turn == most:
+                raise
+            time.sleep(wait * (turn + 1))

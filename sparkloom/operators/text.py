@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # white space of Unicode and the marks of ASCII
@@ -171,3 +171,58 @@ def boolean(docs: DataFrame, tree: dict, tok: Tokenizer = Tokenizer(), id_col: s
         return reduce(lambda a, b: a & b if op == "and" else a | b, map(holds, arg))
 
     return docs.filter(holds(tree)).select(id_col, F.lit(1.0).alias("score"))
+
+
+# ---------------------------------------------------------------- stored postings
+
+
+def build_index(docs: DataFrame, path: str, tok: Tokenizer = Tokenizer(), id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Postings in order of their terms, and document lengths, below ``path``.
+
+    Files hold ranges of terms, with min, max and Bloom filters, so that a search reads the row groups of its terms alone.
+    """
+    p = postings(docs, tok, id_col, text_col)
+    p.repartitionByRange("term", id_col).sortWithinPartitions("term", id_col).write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+    docs.select(id_col, F.size(tok.column(F.col(text_col))).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def search_index(spark: SparkSession, path: str, query: str, limit: int | None = 10, tok: Tokenizer = Tokenizer(), id_col: str = "doc_id", phrase: bool = False) -> DataFrame:
+    """``search`` by BM25 over stored postings; with ``phrase``, documents that hold the tokens one after another."""
+    terms = tok.words(query)
+    unique = list(dict.fromkeys(terms))
+    if not terms:
+        return spark.read.parquet(f"{path}/lengths").select(id_col, F.lit(0.0).alias("score")).limit(0)
+    lengths = spark.read.parquet(f"{path}/lengths")
+    hits = spark.read.parquet(f"{path}/postings").filter(F.col("term").isin(*unique))
+    # a row per term of the query, and one row of statistics
+    df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    stats = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avg"))
+    weight = F.create_map(*(x for t in unique for x in (F.lit(t), F.lit(float(terms.count(t))))))[F.col("term")]
+    rows = hits.join(F.broadcast(df), "term").join(lengths, id_col).join(F.broadcast(stats), F.lit(True))
+    tf = F.col("tf").cast("double")
+    score = weight * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * F.col("dl") / F.col("avg")))
+    parts = [F.collect_list(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{i}") for i, t in enumerate(unique)] if phrase else []
+    out = rows.groupBy(id_col).agg(F.sum(score).alias("score"), F.count("*").alias("_hits"), *parts)
+    if phrase:
+        starts = F.element_at("_p0", 1)
+        follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(F.element_at(f"_p{unique.index(t)}", 1), p + k) for k, t in enumerate(terms)])
+        out = out.filter(F.col("_hits") == len(unique)).filter(F.exists(starts, follows))
+    return _ranked(out, limit, id_col)
+
+
+def update_postings(index: DataFrame, docs: DataFrame, tok: Tokenizer = Tokenizer(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings with the documents' entries replaced, or added; a null text leaves none."""
+    return delete_postings(index, docs, id_col).unionByName(postings(docs, tok, id_col, text_col))
+
+
+def delete_postings(index: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return index.join(ids.select(id_col), id_col, "left_anti").select(*index.columns)
+
+
+def phrase_highlights(docs: DataFrame, query: str, tok: Tokenizer = Tokenizer(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, end): token places at which the phrase starts, and the place after it."""
+    terms = tok.words(query)
+    tokens = docs.select(id_col, tok.column(F.col(text_col)).alias("_t"))
+    places = F.filter(F.sequence(F.lit(0), F.size("_t") - len(terms)), lambda i: F.slice("_t", i + 1, F.lit(len(terms))) == F.array(*map(F.lit, terms)))
+    found = tokens.filter(F.size("_t") >= len(terms)).select(id_col, F.explode(places).alias("start"))
+    return found.select(id_col, "start", (F.col("start") + len(terms)).alias("end"))

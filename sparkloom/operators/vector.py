@@ -43,9 +43,20 @@ def literal(vector) -> Column:
 def vector_of(table: DataFrame, vec_id: int, id_col: str = "vec_id", vec_col: str = "embedding") -> Column:
     """The stored vector of an id, as a literal."""
     row = table.filter(F.col(id_col) == vec_id).select(vec_col).first()
+    if row is None or row[0] is None:
+        raise LookupError(f"no vector {vec_id}")
     return literal(row[0])
 
 
+def put(table: DataFrame, rows: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """Vectors added, or replaced where the id exists."""
+    return table.join(rows.select(id_col), id_col, "left_anti").unionByName(rows.select(*table.columns))
+
+
+def remove(table: DataFrame, ids: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    return table.join(ids.select(id_col), id_col, "left_anti")
+
+
 def knn(table: DataFrame, query: Column, k: int, metric: str = "euclidean", where: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest rows that satisfy ``where`` (a filter before the search)."""
     rows = table if where is None else table.filter(where)
@@ -143,7 +154,7 @@ class IVF:
         self.table, self.id_col, self.vec_col = table, id_col, vec_col
         n = table.count()
         share = min(1.0, SAMPLE / max(1, n))
-        sample = table.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * share)).select(vec_col).toPandas()[vec_col]
+        sample = table.filter(F.xxhash64(id_col).bitwiseAND(F.lit((1 << 63) - 1)) <= int(share * ((1 << 63) - 1024))).select(vec_col).toPandas()[vec_col]
         x = np.array([list(v) for v in sample], float).reshape(len(sample), -1)
         self.centres = _kmeans(x, n_lists) if len(x) else np.zeros((0, 0))
         self.books = []

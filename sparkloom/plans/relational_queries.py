@@ -196,7 +196,7 @@ def cat_permission_check(spark, d):
 def cat_quota_usage(spark, d):
     usage = table(spark, d, "events").select((F.col("user_id") % 5).alias("tenant"), "value")
     limits = spark.range(5).select(F.col("id").alias("tenant"), F.lit(5000.0).alias("quota"))
-    return catalog.quota_usage(usage, limits, "tenant", "value")
+    return catalog.quota_usage(usage, limits, "tenant", "value").drop("alert")
 
 
 @query("ir_opcode_plan", "SELECT l_returnflag, count(l_orderkey) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1 ORDER BY 1 LIMIT 2")

@@ -5,16 +5,24 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the cluster shares; a temporary one only in local mode."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A path in the folder that the cluster shares; a temporary one only in local mode."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.match(r"local(\[|$)", context.master):
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sparkloom-"))
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
+        base = context.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder(spark, "cuts"))
     return df.checkpoint()

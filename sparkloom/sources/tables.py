@@ -48,6 +48,17 @@ def read_log(spark: SparkSession, path: str, from_lsn: int | None = None) -> Dat
     return (log if from_lsn is None else log.filter(F.col("lsn") >= from_lsn)).orderBy("lsn")
 
 
+def with_checksum(log: DataFrame) -> DataFrame:
+    """Records with the CRC-32 of their key and value."""
+    return log.withColumn("crc", F.crc32(F.concat_ws("\u0000", "k", "v").cast("binary")))
+
+
+def sound_log(log: DataFrame) -> DataFrame:
+    """The records before the first torn or corrupt one (lsn, k, v, crc): what a reader may trust."""
+    bad = log.filter(~F.coalesce(F.col("crc") == F.crc32(F.concat_ws("\u0000", "k", "v").cast("binary")), F.lit(False))).agg(F.min("lsn").alias("_stop"))
+    return log.join(F.broadcast(bad), F.lit(True)).filter(F.col("_stop").isNull() | (F.col("lsn") < F.col("_stop"))).drop("_stop")
+
+
 def truncate_log(spark: SparkSession, path: str, out: str, before_lsn: int) -> None:
     """The log without records before ``before_lsn``, in a new folder."""
     spark.read.parquet(path).filter(F.col("lsn") >= before_lsn).write.parquet(out)
