@@ -57,6 +57,7 @@ def _layout(texts: pa.Array) -> np.ndarray:
     share = np.stack([sums((kinds == k).astype(np.float32), bounds) / size for k in range(7)], axis=1)
     letters = np.maximum(share[:, 1] + share[:, 2], 1e-9)
     pair = np.concatenate([[False], (kinds[1:] == 6) & (kinds[:-1] == 6)]) if len(kinds) else np.zeros(0, bool)
+    pair[bounds[:-1][bounds[:-1] < len(pair)]] = False  # not across texts
     rare = sums(_RARE[data].astype(np.float32), bounds) / size
     lines = share[:, 5] * size + 1
     return np.stack(

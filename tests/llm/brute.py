@@ -100,3 +100,53 @@ def bigram_scores(docs, prior):
             score += math.log10((two[a, b] + prior * p) / ((firsts if a == start else one[a]) + prior))
         out[i] = (len(w), sum(one[x] > 0 for x in w), n, base, score)
     return out
+
+
+_SHAPES = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a + b <= 4] + [(1, 1, 1), (2, 1, 1), (1, 2, 1), (1, 1, 2)]
+
+
+def subsequences(word, decay):
+    """(bytes, weight) of the subsequences of three or four bytes that span at most five, each skipped byte costing
+    ``decay``; the weights have norm 1."""
+    data, out = word.encode(), []
+    for steps in _SHAPES:
+        for i in range(len(data) - sum(steps)):
+            at = [i]
+            for s in steps:
+                at.append(at[-1] + s)
+            out.append((bytes(data[k] for k in at), decay ** (sum(steps) - len(steps))))
+    size = sum(w * w for _, w in out) ** 0.5
+    return [(k, w / size) for k, w in out]
+
+
+def kernel(x, y, decay):
+    return sum(a * b for k, a in subsequences(x, decay) for m, b in subsequences(y, decay) if k == m)
+
+
+def margin(word, table, bias, decay):
+    total = 0.0
+    for key, weight in subsequences(word, decay):
+        code = len(key) - 1
+        for byte in key:
+            code = ((code ^ byte) * 0x9E3779B1) & 0xFFFFFFFF
+            code ^= code >> 15
+        total += weight * float(table[((code * 0x85EBCA6B) & 0xFFFFFFFF) >> 14])
+    return total + bias
+
+
+def content(text):
+    """The first 18 features of the content view."""
+    w = text.split() or [""]  # an empty text is one empty word
+    n, size, counts = len(w), max(1, len(w)), Counter(w)
+    again = sum(a == b for a, b in zip(w, w[1:]))
+    data = text.encode()
+    total = max(1, len(data))
+    upper, lower = sum(65 <= c < 91 for c in data), sum(97 <= c < 123 or c > 127 for c in data)
+    is_mark = lambda c: 33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127
+    lines = data.count(10) + 1
+    return [
+        len(counts) / size, math.log1p(size) * (1 - len(counts) / size) / 8, max(counts.values(), default=0) / size, (again / size) ** 0.5, sum(min(len(x), 30) for x in w) / size / 10,
+        sum(len(x) > 20 for x in w) / size, min(n, 20) / 20, math.log1p(n) / 10, upper / total / max((upper + lower) / total, 1e-9), sum(48 <= c < 58 for c in data) / total,
+        sum(c in b"\t\x0b\x0c\r " for c in data) / total, sum(map(is_mark, data)) / total, (sum(is_mark(a) and is_mark(b) for a, b in zip(data, data[1:])) / total) ** 0.5,
+        (sum(chr(c) in "#$%&*+<=>@[]^_`{|}~\\!" for c in data) / total) ** 0.5, math.log1p(lines) / 5, math.log1p(total / lines) / 10, math.log1p(total) / 10, float(total < 40),
+    ]

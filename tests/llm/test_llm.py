@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 pytest.importorskip("sparkloom.llm")
-from sparkloom.llm import components, embed, exact, lm, minmax, mixing, packing, quality, substring, suffix, toxicity  # noqa: E402
+from sparkloom.llm import common, components, embed, exact, lm, minmax, mixing, packing, quality, substring, suffix, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TABLES = "/root/testdata/sf0.001"
@@ -92,11 +92,62 @@ def test_suffix_arrays():
 
 def test_suffix(docs, texts, empty):
     for width in (400, 40):
-        got = suffix.suffix_dedup(docs, width=width).collect()
+        got = suffix.suffix_dedup(docs, width=width, report=30).collect()
         assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute.suffix(list(enumerate(texts)), width))
+    repeated = {i: sum(m) for i, m in enumerate(brute.covered([(t or "").encode() for t in texts], 30))}
+    assert {r.doc_id: r.n_repeated for r in got} == repeated
     assert suffix.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_over_many_blocks(spark, docs, texts, monkeypatch):
+    # blocks of a document or two: what repeats does so across blocks, and arrays find it
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(common, "FAN", 2)
+    want = sorted(brute.suffix(list(enumerate(texts)), 60))
+    for hot in (suffix.HOT, 3):  # and with most anchors too frequent for a shard's array
+        got = suffix.suffix_dedup(docs, width=60, report=40, hot=hot).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def test_two_level_exchange(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(common, "FAN", 2)
+    assert common.shards_for(spark, 0).fan < common.shards_for(spark, 0).n
+    got = substring.substring_dedup(docs, window=12, seed=8).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(brute.substring(list(enumerate(texts)), 12))
+    want = brute.bigram_scores(list(enumerate(texts)), 4.0)
+    for r in lm.lm_scores(docs).collect():
+        n, known, total, base, score = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and abs(r.base_score - base) < 1e-8 and abs(r.score - score) < 1e-8
+
+
+def test_requests_grow_in_proportion():
+    keys = np.sort(suffix.mix(np.arange(300, dtype=np.uint64)))[:, None]
+    ones = np.ones(300, np.int64)
+    for n in (8, 500, 10**4, 10**6, 10**9):
+        fan = n if n <= common.FAN else int(np.ceil(np.sqrt(n)))
+        rows = common.request_rows(0, keys, ones, common.Shards(n, fan))
+        assert len(rows) <= min(300, fan) and sum(r["n"] for r in rows) == 300
+        assert np.array_equal(np.concatenate([common.unpack_keys(r["keys"], r["n"], 1) for r in rows]), keys)
+
+
+def test_counts_beyond_32_bits():
+    for most in (0, 255, 65535, 1 << 31, 1 << 33, (1 << 63) - 1):
+        x = np.array([0, most, 1, most // 2], np.int64)
+        assert np.array_equal(common.unpack_ints(common.pack_ints(x), 4), x)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(11)
+    long = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(250_000))
+    df = frame(spark, [long, "a short one", long, None])
+    n = len(long)
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.substring_dedup(df).collect()) == [(0, 250_000, 250_000), (1, 3, 0), (2, 250_000, 250_000), (3, 0, 0)]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix.suffix_dedup(df).collect()) == [(0, n, n, 1), (1, 11, 0, 0), (2, n, n, 1), (3, 0, 0, 0)]
+    assert {r.doc_id: r.n_tokens for r in lm.lm_scores(df).collect()} == {0: 250_001, 1: 4, 2: 250_001, 3: 1}
+    assert {r.doc_id: r.component_id for r in minmax.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 0, 3: 3}
+    assert {r.doc_id: r.group_size for r in exact.exact_dedup(df).collect()} == {0: 2, 1: 1, 2: 2, 3: 1}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_duplicates(spark, seed, empty):
     texts = corpus(seed, 80)
@@ -171,6 +222,9 @@ def test_exact(spark, texts, docs, keep, empty):
     group = {}
     for i, t in enumerate(texts):
         group.setdefault(t or "", []).append(i)
+    edge = frame(spark, ["a"] * 4 + ["b"], [-(1 << 63), -(1 << 63) + 1, 5, (1 << 63) - 1, -(1 << 63)])
+    best = -(1 << 63) if keep == "min" else (1 << 63) - 1
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact.exact_dedup(edge, keep).collect()) == sorted([(-(1 << 63), -(1 << 63), 1), *((i, best, 4) for i in (-(1 << 63), -(1 << 63) + 1, 5, (1 << 63) - 1))])
     for r in exact.exact_dedup(docs, keep=keep, fan_in=2).collect():
         g = group[texts[r.doc_id] or ""]
         best = min(g) if keep == "min" else max(g)
@@ -199,7 +253,7 @@ def test_packing(spark, texts, docs, empty):
 
     path = str(P.path("word_bpe_49k.json"))
     tok = Tokenizer.from_file(path)
-    more = [*texts, "don't IT'S 'll", "x<|endoftext|>y Z", "İstanbul ΣΑΣ ẞ", "H̱ é É", "tab\there 123 4a ...!!!", "\x00 a\x00b", "Ÿ ÿ Ö ö ß"]
+    more = [*texts, "don't IT'S 'll", "x<|endoftext|>y Z", "İstanbul ΣΑΣ ẞ", "BİLGİ.", "TÜRKİYE'NİN YENİ İLİ, SERGİSİ!", "H̱ é É", "tab\there 123 4a ...!!!", "\x00 a\x00b", "Ÿ ÿ Ö ö ß"]
     got = packing.pack(frame(spark, more), path, length=64).toPandas()
     for i, t in enumerate(more):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -212,6 +266,19 @@ def test_packing(spark, texts, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_tokens_of_every_letter_before_a_mark():
+    P = pytest.importorskip("public_tokenizers")
+    import unicodedata
+
+    tok = packing.WordTokens(str(P.path("word_bpe_49k.json")))
+    letters = [chr(c) for c in range(1, 0x30000) if unicodedata.category(chr(c))[0] in "LM"]
+    words = [f"{a}{c}{m}" for c, a, m in zip(letters, "bBé" * len(letters), ".,;!'*-" * len(letters))]
+    lines = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+    ids, n = tok.encode(pa.array(lines), 1)
+    for line, got in zip(lines, ids.to_pylist()):
+        assert np.frombuffer(got, "<u4").tolist() == [*tok.tokenizer.encode(line, add_special_tokens=False).ids, 1]
+
+
 def test_mixing(spark, empty):
     rng = random.Random(6)
     texts = [" ".join(["w"] * rng.randint(0, 9)) for _ in range(3000)] + [None, ""]
@@ -278,6 +345,29 @@ def test_toxicity(spark, empty):
     assert {r.predicted for r in toxicity.toxicity(frame(spark, extra), labels.limit(0)).collect()} == {0}
 
 
+def test_kernel_and_margins():
+    words = ["wretched", "wret7ched", "halfwit", "half", "abc", "ab", "numskull"]
+    want = np.array([[brute.kernel(x, y, toxicity.LAMBDA) for y in words] for x in words])
+    assert np.allclose(toxicity.kernel(pa.array(words), pa.array(words)), want, atol=1e-5)
+    texts, toxic, _ = labelled()
+    model = toxicity.train(pa.array(texts), np.array(toxic))
+    a, b = model["scale"]
+    for t in [*texts[:40], "", "halfxwit co", "h a l f w i t"]:
+        units = ["".join(c for c in w.lower() if not c in '!"#$%&\'()*+,-./:;<=>?@[\\]^_`{|}~') for w in t.split()]
+        units = ["".join(units)] if units and all(len(u) == 1 for u in units) else units
+        margins = [brute.margin(u, model["table"], model["bias"], toxicity.LAMBDA) for u in units] or [model["bias"]]
+        want = 1 / (1 + np.exp(-(a * min(max(max(margins), -3), 1.25) + b)))
+        assert abs(toxicity.score(pa.array([t]), model)[0] - want) < 1e-5, t
+
+
+def test_quality_features():
+    texts = [*labelled(40)[0], "", "A b\nc  C3!! x", "word word word " * 30, "é日本 ÉÀ ,,, #tag"]
+    got = quality.content_view(pa.array(texts))[:, :18].astype(float)
+    assert np.allclose(got, [brute.content(t) for t in texts], rtol=2e-3, atol=2e-3)
+    page = quality.page_view(["en", None], ["s", "t"], [7, None])
+    assert (page[:, :-1] > 0).sum() == 6 and page[0, -1] > 0 == page[1, -1]
+
+
 def test_quality(spark, empty):
     texts, _, good = labelled()
     labels = spark.createDataFrame([(i, g, 0) for i, g in enumerate(good) if i % 2], "doc_id long, quality int, toxic int")
