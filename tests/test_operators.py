@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 
 from sparkloom.functions import keys
-from sparkloom.operators import embedding, filters, graph, index, kv, mvcc, spatial, text, vector
+from sparkloom.operators import catalog, embedding, filters, graph, index, kv, mvcc, spatial, text, vector
 from sparkloom.operators.kv import KeyRange
 from sparkloom.operators.text import Tokenizer
+from sparkloom.plans import front
 from sparkloom.plans.ir import Program
 from sparkloom.sources import tables
 from sparkloom.streaming import replay
@@ -51,8 +52,44 @@ def test_point_operations(spark, shop):
     gone = spark.createDataFrame([("user:001",), ("user:001",), ("nobody",)], "k string")
     assert kv.delete_count(shop, gone).first()[0] == 1
     assert kv.delete(shop, gone).count() == 4
-    puts = spark.createDataFrame([("user:001", "x", 1), ("user:001", "y", 2), ("new", "z", 1), ("", "bad", 1)], "k string, v string, seq int")
+    puts = spark.createDataFrame([("user:001", "x", 1), ("user:001", "y", 2), ("new", "z", 1)], "k string, v string, seq int")
     assert {r.k: r.v for r in kv.put(shop, puts, order="seq").collect()} == dict(SHOP) | {"user:001": "y", "new": "z"}
+    for bad in ([("", "bad", 1)], [(None, "bad", 1)]):
+        with pytest.raises(Exception, match="invalid key"):
+            kv.put(shop, spark.createDataFrame(bad, "k string, v string, seq int"), order="seq").collect()
+    with pytest.raises(Exception, match="written twice"):
+        kv.put(shop, puts.drop("seq")).collect()
+
+
+def test_catalogue_and_front_end_raise(spark):
+    have = spark.createDataFrame([("/a/t", "table", "x", 1)], "path string, kind string, body string, version int")
+    with pytest.raises(Exception, match="object exists"):
+        catalog.create_objects(have, have.drop("version")).collect()
+    with pytest.raises(LookupError):
+        catalog.call_function(have, "/a/t", have, "out")
+    with pytest.raises(TypeError):
+        index.HashIndex(have).range_scan(KeyRange.all())
+    with pytest.raises(ValueError):
+        front.run(spark, "MATCH (a)-[]->(b) WHERE a.x = b.x RETURN a", {"nodes": have, "edges": have})
+
+
+def test_retries_after_conflicts():
+    turns = []
+
+    def run():
+        turns.append(1)
+        if len(turns) < 3:
+            raise mvcc.Conflict("again")
+        return "done"
+
+    assert mvcc.with_retry(run, wait=0) == "done" and len(turns) == 3
+    with pytest.raises(mvcc.Conflict):
+        mvcc.with_retry(lambda: (_ for _ in ()).throw(mvcc.Conflict("never")), most=1, wait=0)
+
+
+def test_embed_keeps_null_texts(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, None)], "doc_id long, text string")
+    assert {r.doc_id for r in embedding.embed(docs, embedding.hashing_embedder(8), 1).collect()} == {1, 2, 3}
 
 
 def test_routing(spark):
