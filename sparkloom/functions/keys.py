@@ -66,6 +66,22 @@ def valid_key(key: Column) -> Column:
     return (F.octet_length(key) > 0) & (F.substring(F.hex(key.cast("binary")), 1, 2) != "00")
 
 
+def route_table(key: Column, sharding: dict) -> Column:
+    """Shard of a row by its table's sharding: {"single": 0}, or one of {"hash": shards}, {"range": ranges}, {"list": lists}
+    and {"time": (interval, shards)}."""
+    (kind, arg), = sharding.items()
+    if kind == "single":
+        return F.lit(arg)
+    if kind == "time":
+        return time_shard(key, *arg)
+    return {"hash": hash_shard, "range": range_shard, "list": list_shard}[kind](key, arg).cast("int")
+
+
+def checksum(columns: list[str], kind: str = "crc32") -> Column:
+    """Checksum of some columns: CRC-32 of their JSON text, or the 64-bit xxHash of their values."""
+    return F.crc32(F.to_json(F.struct(*columns)).cast("binary")) if kind == "crc32" else F.xxhash64(*columns)
+
+
 def encode_long(x: Column) -> Column:
     """Hex of a long whose order as text is the order of the numbers."""
     return F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")

@@ -36,6 +36,15 @@ def embed(docs: DataFrame, provider, version: int, id_col: str = "doc_id", text_
     return rows.join(texts, F.col("_text").eqNullSafe(F.col("_key"))).select(id_col, F.lit(text_col).alias("source_field"), F.lit(version).alias("model_version"), F.sha2(F.col("_text"), 256).alias("text_hash"), "embedding")
 
 
+def refresh(records: DataFrame, docs: DataFrame, provider, version: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Records of all documents at a model version: sound ones stay, only the stale are embedded again, those of documents
+    that are gone go."""
+    again = stale(records, docs, version, id_col, F.col(text_col)).select(id_col)
+    fresh = embed(docs.join(again, id_col, "left_semi"), provider, version, id_col, text_col)
+    kept = records.join(docs.select(id_col), id_col, "left_semi").join(again, id_col, "left_anti")
+    return kept.unionByName(fresh.select(*records.columns))
+
+
 def stale(records: DataFrame, docs: DataFrame, version: int, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
     """Ids whose record is missing, of another model version, or of another text."""
     text = F.col("text") if text is None else text

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.catalog import distinct_or_raise
+
 _COMPARE = {
     "eq": lambda c, v: c == F.lit(v), "ne": lambda c, v: c != F.lit(v), "gt": lambda c, v: c > F.lit(v),
     "gte": lambda c, v: c >= F.lit(v), "lt": lambda c, v: c < F.lit(v), "lte": lambda c, v: c <= F.lit(v),
@@ -75,6 +77,27 @@ def run_query(table: DataFrame, query: dict | str) -> DataFrame:
     return out.select(*q["projection"]) if q.get("projection") else out
 
 
+def insert_documents(docs: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """With new documents; raises when the result is read if one's key exists or comes twice."""
+    return distinct_or_raise(docs.unionByName(new), key, "document exists")
+
+
+def update_documents(docs: DataFrame, changed: DataFrame, key: str) -> DataFrame:
+    """Whole documents replaced by key; keys that don't exist are ignored."""
+    known = changed.join(docs.select(key), key, "left_semi")
+    return docs.join(known.select(key), key, "left_anti").unionByName(known.select(*docs.columns))
+
+
+def delete_documents(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return docs.join(keys.select(key), key, "left_anti")
+
+
+def unset_fields(docs: DataFrame, keys: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Documents with some fields null where the key is among ``keys``."""
+    out = docs.join(keys.select(key).distinct().withColumn("_unset", F.lit(True)), key, "left")
+    return out.select(*(F.when(F.col("_unset").isNull(), F.col(c)).alias(c) if c in fields else F.col(c) for c in docs.columns))
+
+
 def patch_documents(docs: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     """Documents with the patches' non-null fields written over theirs."""
     named = patches.select(F.col(key), *(F.col(c).alias(f"_new_{c}") for c in patches.columns if c != key))

@@ -15,7 +15,15 @@ from sparkloom.sources.scratch import cut
 
 
 def scan_nodes(nodes: DataFrame, label: str | None = None) -> DataFrame:
-    return nodes if label is None else nodes.filter(F.col("label") == label)
+    """Nodes with a label; a node has one (label) or several (labels)."""
+    if label is None:
+        return nodes
+    return nodes.filter(F.array_contains("labels", label) if "labels" in nodes.columns else F.col("label") == label)
+
+
+def node_property(name: str, kind: str = "string") -> Column:
+    """A property of a node or edge whose properties are a map of texts (props); null where it has none."""
+    return F.try_element_at("props", F.lit(name)).try_cast(kind)
 
 
 def scan_edges(edges: DataFrame, kind: str | None = None) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.graph import traverse
+
 
 def normalized(scores: DataFrame, id_col: str, score: str, lower_is_better: bool = False) -> DataFrame:
     """Scores of a candidate list (a top-k) brought to 0..1 by their least and largest value; equal scores become 1."""
@@ -29,3 +31,13 @@ def combine(signals: list[tuple[DataFrame, str, float, bool]], id_col: str, k: i
         out = n if out is None else out.join(n, id_col, "full_outer")
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(s), F.lit(0.0)) * w for _, s, w, _ in signals])
     return out.select(id_col, F.round(total, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+
+
+def proximity(start: DataFrame, edges: DataFrame, max_depth: int, direction: str = "both", kinds: list[str] | None = None) -> DataFrame:
+    """(id, proximity): 1 / (1 + hops) for the nodes within ``max_depth`` hops of the start nodes."""
+    return traverse(start, edges, max_depth, direction, kinds).select("id", (1 / (1 + F.col("depth"))).alias("proximity"))
+
+
+def rerank(candidates: DataFrame, score: Column, id_col: str, k: int) -> DataFrame:
+    """The k best of a candidate list by another score."""
+    return candidates.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), id_col).limit(k)

@@ -94,3 +94,14 @@ class HashIndex:
 
     def range_scan(self, keys: KeyRange) -> DataFrame:
         raise TypeError("a hash index has no order: ranges need an ordered index")
+
+
+def query(index: DataFrame, q: dict) -> DataFrame:
+    """The entries that {"exact": v}, {"exists": v}, {"prefix": p} or {"range": KeyRange} asks for; ``exists`` gives one row (found)."""
+    (kind, arg), = q.items()
+    if kind == "range":
+        return range_scan(index, arg)
+    if kind == "prefix":
+        return scan(index, KeyRange.prefix(arg), "indexed_value")
+    found = exact(index, arg)
+    return found.agg((F.count("*") > 0).alias("found")) if kind == "exists" else found

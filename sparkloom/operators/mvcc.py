@@ -93,6 +93,17 @@ class Transaction:
         return self.log.unionByName(new.select(*self.log.columns))
 
 
+def begin(log: DataFrame, key: str = "k") -> Transaction:
+    """A transaction at the log's newest commit."""
+    return Transaction(log, log.agg(F.max("commit_ts")).first()[0] or 0, key)
+
+
+def commit_next(tx: Transaction, log: DataFrame) -> DataFrame:
+    """``log`` (what is committed by now) with the transaction's writes one tick after its newest commit; raises Conflict."""
+    tx.log = log
+    return tx.commit((log.agg(F.max("commit_ts")).first()[0] or 0) + 1)
+
+
 def overlay(base: DataFrame, pending: DataFrame, key: str = "k") -> DataFrame:
     """``base`` as a transaction with the pending writes (null: delete) sees it."""
     return base.join(pending.select(key), key, "left_anti").unionByName(pending.filter("v is not null").select(*base.columns))

@@ -44,6 +44,25 @@ def expand_box(a: tuple, x: float, y: float) -> tuple:
     return min(a[0], x), min(a[1], y), max(a[2], x), max(a[3], y)
 
 
+def boxes_of(points: DataFrame, by: str, x: str = "lat", y: str = "lon") -> DataFrame:
+    """The bounding box of each group: (by, x1, y1, x2, y2)."""
+    return points.groupBy(by).agg(F.min(x).alias("x1"), F.min(y).alias("y1"), F.max(x).alias("x2"), F.max(y).alias("y2"))
+
+
+def meets(box: tuple) -> Column:
+    """Whether columns x1, y1, x2, y2 meet a box, edges included."""
+    return (F.col("x1") <= box[2]) & (F.lit(box[0]) <= F.col("x2")) & (F.col("y1") <= box[3]) & (F.lit(box[1]) <= F.col("y2"))
+
+
+def expanded(boxes: DataFrame, x: float, y: float) -> DataFrame:
+    """Boxes grown to take in a point."""
+    return boxes.withColumns({"x1": F.least("x1", F.lit(x)), "y1": F.least("y1", F.lit(y)), "x2": F.greatest("x2", F.lit(x)), "y2": F.greatest("y2", F.lit(y))})
+
+
+def area() -> Column:
+    return (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+
+
 def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
     """Ray casting: an odd number of edges to the right of the point."""
     crossings = []

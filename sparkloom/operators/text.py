@@ -107,6 +107,8 @@ def _scored(docs: DataFrame, terms: list[str], tok: Tokenizer, scorer: str, id_c
             s = tf
         elif scorer == "tfidf":
             s = tf * F.log(n / (1 + df))
+        elif callable(scorer):
+            s = scorer(tf, df, n, F.col("_dl"), F.col("_avg"))
         else:
             s = F.log((n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * F.col("_dl") / F.col("_avg")))
         weight = terms.count(t) * (boosts or {}).get(t, 1.0)
@@ -120,7 +122,11 @@ def _ranked(rows: DataFrame, limit: int | None, id_col: str, *more: Column) -> D
 
 
 def search(docs: DataFrame, query: str, limit: int | None = 10, scorer: str = "bm25", tok: Tokenizer = Tokenizer(), boosts: dict[str, float] | None = None, highlights: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with any term of the query, by summed score, then id."""
+    """Documents with any term of the query, by summed score, then id.
+
+    scorer: "tf", "tfidf", "bm25", or a function of the columns term count, document frequency, documents, length and
+    mean length that gives a term's score.
+    """
     terms = tok.words(query)
     if not terms:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)

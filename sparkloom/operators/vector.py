@@ -157,6 +157,7 @@ class IVF:
         sample = table.filter(F.xxhash64(id_col).bitwiseAND(F.lit((1 << 63) - 1)) <= int(share * ((1 << 63) - 1024))).select(vec_col).toPandas()[vec_col]
         x = np.array([list(v) for v in sample], float).reshape(len(sample), -1)
         self.centres = _kmeans(x, n_lists) if len(x) else np.zeros((0, 0))
+        self.sample = x
         self.books = []
         if sub_quantizers and len(x):
             self.books = [_kmeans(part, min(64, len(x)), seed=5 + i) for i, part in enumerate(np.array_split(x, sub_quantizers, axis=1))]
@@ -178,6 +179,19 @@ class IVF:
         q = np.asarray(query, float)
         return np.argsort(((self.centres - q) ** 2).sum(1), kind="stable")[:n_probe].tolist()
 
+    def probes_for(self, target: float, k: int, queries: int = 256) -> int:
+        """The least number of lists at which the mean recall of k neighbours is ``target``, estimated on the sample it was
+        fitted on; codes are not part of the estimate."""
+        x, n = self.sample, len(self.centres)
+        own = (2 * x @ self.centres.T - (self.centres**2).sum(1)).argmax(1)
+        q = np.random.default_rng(7).permutation(len(x))[:queries]
+        far = (x[q] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[q] @ x.T
+        far[np.arange(len(q)), q] = np.inf
+        near = np.argsort(far, axis=1, kind="stable")[:, :k]
+        order = np.argsort((self.centres**2).sum(1) - 2 * x[q] @ self.centres.T, axis=1, kind="stable")
+        at = np.argsort(order, axis=1)[np.arange(len(q))[:, None], own[near]]  # when each neighbour's list is probed
+        return next((p for p in range(1, n + 1) if (at < p).mean() >= target), n)
+
     def knn(self, query, k: int, n_probe: int = 4, metric: str = "euclidean") -> DataFrame:
         lists = self.rows.filter(F.col("list").isin(*self.probes(query, n_probe))).drop("list")
         if self.books:

@@ -1,3 +1,3 @@
 """Named queries; importing a module of queries registers them."""
 
-from sparkloom.plans import kv_queries, model_queries, relational_queries, surface_queries  # noqa: F401
+from sparkloom.plans import further_queries, kv_queries, model_queries, relational_queries, surface_queries  # noqa: F401

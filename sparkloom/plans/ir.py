@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators import filters, graph, index, relational, text, vector
+from sparkloom.operators import filters, graph, hybrid, index, relational, text, vector
 from sparkloom.operators.kv import KeyRange
 
 
@@ -112,6 +112,10 @@ class Program:
     def op_vector_search(self, src, query, k, metric="euclidean"):
         return vector.knn(self._get(src), vector.literal(query), k, metric)
 
+    def op_hybrid_search(self, signals, id, k):
+        """signals: (register, score column, weight, lower is better)."""
+        return hybrid.combine([(self._get(r), score, weight, lower) for r, score, weight, lower in signals], id, k)
+
     def op_vector_filter(self, src, filter):
         return self._get(src).filter(filters.compile_filter(filter))
 

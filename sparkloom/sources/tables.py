@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparkloom.functions.keys import checksum
 from sparkloom.operators.filters import run_query
 
 
@@ -78,3 +79,19 @@ def encrypt(df: DataFrame, column: str, key: bytes) -> DataFrame:
 
 def decrypt(df: DataFrame, column: str, key: bytes) -> DataFrame:
     return df.withColumn(column, F.aes_decrypt(F.col(column), F.lit(key), F.lit("GCM")).cast("string"))
+
+
+def checked(df: DataFrame, columns: list[str], kind: str = "crc32") -> DataFrame:
+    return df.withColumn("checksum", checksum(columns, kind))
+
+
+def corrupt(df: DataFrame, columns: list[str], kind: str = "crc32") -> DataFrame:
+    """The rows whose checksum is missing or does not fit their columns."""
+    return df.filter(~F.coalesce(F.col("checksum") == checksum(columns, kind), F.lit(False)))
+
+
+def measured(df: DataFrame, key: str, value: str, name: str = "reads") -> tuple[DataFrame, Observation]:
+    """``df`` with an observation of what is read through it: rows, bytes of keys and of values.  Costs no pass of its own."""
+    seen = Observation(name)
+    size = lambda c: F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)).cast("long")
+    return df.observe(seen, F.count(F.lit(1)).alias("n_rows"), size(key).alias("key_bytes"), size(value).alias("value_bytes")), seen

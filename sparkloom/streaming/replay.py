@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sparkloom.operators.kv import last_by_key
+from sparkloom.sources import scratch
 
 
 def tail(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 64) -> DataFrame:
@@ -19,10 +20,19 @@ def replay(log: DataFrame, key: str = "k", order: tuple = ("lsn",), kind: str =
     return last_by_key(log, key, list(order), F.col(kind) == "delete")
 
 
+def apply_commands(state: DataFrame, commands: DataFrame) -> DataFrame:
+    """State (k, v) after commands (lsn, ops), in the order of lsn; ops is an array of (op, k, v), and a batch's later
+    operations hold over its earlier ones.  Each command applies whole."""
+    ops = commands.select("lsn", F.posexplode("ops").alias("_place", "_op")).select("lsn", "_place", "_op.*")
+    last = last_by_key(ops, "k", ["lsn", "_place"])
+    return state.join(last.select("k"), "k", "left_anti").unionByName(last.filter("op = 'put'").select(*state.columns))
+
+
 def replay_into(stream: DataFrame, path: str, checkpoint: str, key: str = "k", order: str = "lsn", kind: str = "kind"):
     """Run a stream to its end, merging each micro-batch into versioned state folders under ``path``.
 
-    A batch that is run again writes the same folder again, so the state is exactly-once.
+    A batch that is run again writes the same folder again, so the state is exactly-once.  The last two
+    folders are kept.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
@@ -32,6 +42,8 @@ def replay_into(stream: DataFrame, path: str, checkpoint: str, key: str = "k", o
             old = spark.read.parquet(f"{path}/{epoch - 1}")
             newest = old.join(newest.select(key), key, "left_anti").unionByName(newest.select(*old.columns))
         newest.write.mode("overwrite").parquet(f"{path}/{epoch}")
+        # a batch that runs again reads the epoch before it, and none earlier
+        scratch.remove(spark, f"{path}/{epoch - 2}")
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -277,6 +277,7 @@ def test_stream_replay(spark, tmp_path):
     last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"])
     want = {r.k: r.v for r in replay.replay(df).collect()}
     assert {r.k: r.v for r in replay.state(spark, f"{tmp_path}/state", last).collect()} == want == {"b": "2", "c": "1"}
+    assert last > 1 and sorted(x.name for x in (tmp_path / "state").iterdir()) == [str(last - 1), str(last)]
 
 
 def test_embeddings(spark, docs):
@@ -285,3 +286,14 @@ def test_embeddings(spark, docs):
     assert rec.count() == 3 and abs(sum(x * x for x in rec.first().embedding) - 1) < 1e-9
     assert embedding.stale(rec, docs, 1).count() == 0
     assert {r.reason for r in embedding.stale(rec, docs, 2).collect()} == {"version"}
+
+
+def test_documents_and_checksums(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")
+    with pytest.raises(Exception, match="document exists"):
+        filters.insert_documents(docs, docs.limit(1), "id").collect()
+    assert {tuple(r) for r in filters.unset_fields(docs, docs, "id", ["v"]).collect()} == {(1, None), (2, None)}
+    for kind in ("crc32", "xxhash64"):
+        whole = tables.checked(docs, ["id", "v"], kind)
+        assert tables.corrupt(whole, ["id", "v"], kind).count() == 0
+        assert tables.corrupt(whole.withColumn("checksum", F.lit(None).cast("long")), ["id", "v"], kind).count() == 2
