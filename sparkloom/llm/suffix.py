@@ -1,11 +1,8 @@
 """Suffix-array dedup of byte strings: induced sorting over shards of the corpus.
 
 ``suffix_array`` classifies suffixes as S or L, sorts the leftmost-S (LMS) substrings by induction, sorts
-the reduced string of their names, and induces the whole array in two linear passes.  Buckets are
-processed in waves: all entries of a bucket's front induce at once, so each pass is a few array
-operations per bucket.  The reduced string has a large alphabet, for which buckets do not pay; its
-recursion is by rank doubling over the names that still tie.  ``common_prefixes`` computes the permuted
-LCP array from its irreducible values.
+the reduced string of their names by itself in the same way, until all names differ, and induces the whole
+array in two linear passes.  ``common_prefixes`` computes the permuted LCP array from its irreducible values.
 
 Anchors decide what text meets in a shard: of the grams in a window of ``report`` bytes the one with the least
 hash.  Equal windows have equal anchors, so a string can only repeat if its anchor is at two places.  A run
@@ -60,11 +57,11 @@ def _spread(items: np.ndarray, symbols: np.ndarray, pending: list[list[np.ndarra
 
 
 def _join(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, n_symbols: int) -> np.ndarray:
-    """The suffix array that follows from LMS suffixes in the order ``lms`` within their buckets."""
+def _induce_in_waves(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, n_symbols: int) -> np.ndarray:
+    """``_induce`` a bucket at a time: all entries of a bucket's front induce at once."""
     of_lms: list[list[np.ndarray]] = [[] for _ in range(n_symbols)]
     _spread(lms, t[lms], of_lms)
     to_l: list[list[np.ndarray]] = [[] for _ in range(n_symbols)]
@@ -84,7 +81,7 @@ def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, n_symbols: int) ->
         before = before[before > 0] - 1
         _spread(before, t[before], to_l)
     to_s: list[list[np.ndarray]] = [[] for _ in range(n_symbols)]
-    to_s[0].append(np.array([len(t) - 1], np.int32))
+    to_s[0].append(np.array([len(t) - 1]))
     out = []
     for c in range(n_symbols - 1, -1, -1):
         wave, got = _join(to_s[c]), []
@@ -107,6 +104,41 @@ def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, n_symbols: int) ->
     return _join(out[::-1])
 
 
+def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, n_symbols: int) -> np.ndarray:
+    """The suffix array that follows from LMS suffixes in the order ``lms`` within their buckets, in two linear passes."""
+    n = len(t)
+    # an operation or so per bucket, and per symbol of the longest run, pays if that is little against a step per place
+    if 64 * (n_symbols + np.diff(np.flatnonzero(np.diff(t)), prepend=-1).max()) < n:
+        return _induce_in_waves(t, is_s, lms, n_symbols)
+    stop = np.cumsum(np.bincount(t, minlength=n_symbols))
+    symbols = t[lms]
+    order = np.argsort(symbols, kind="stable")
+    after = np.cumsum(np.bincount(symbols, minlength=n_symbols))  # LMS suffixes up to each bucket
+    bucket = symbols[order]
+    sa = np.full(n, n)
+    sa[stop[bucket] - after[bucket] + np.arange(len(lms))] = lms[order]
+    # the symbol before each place, where the suffix from it is of type L, and of type S; n stands for no suffix
+    before = np.concatenate([[0], t[:-1], [0]])
+    s_before = np.concatenate([[False], is_s[:-1], [False]])
+    none = np.ones(n + 1, bool)
+    none[1:n] = False
+    sa = sa.tolist()
+    symbol, at = np.where(none | s_before, -1, before).tolist(), np.concatenate([[0], stop[:-1]]).tolist()
+    for j in sa:  # sees the entries that it adds further on
+        c = symbol[j]
+        if c >= 0:
+            h = at[c]
+            sa[h] = j - 1
+            at[c] = h + 1
+    symbol, at = np.where(none | ~s_before, -1, before).tolist(), stop.tolist()
+    for j in reversed(sa):
+        c = symbol[j]
+        if c >= 0:
+            h = at[c] = at[c] - 1
+            sa[h] = j - 1
+    return np.array(sa)
+
+
 def _equal_runs(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Length of the common prefix of data[a:] and data[b:], up to ``most``, eight bytes at a time."""
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
@@ -122,54 +154,38 @@ def _equal_runs(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray
     return np.minimum(length, most)
 
 
-def _sorted_reduced(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of the reduced string, by rank doubling over the suffixes that still tie."""
-    n = len(names)
-    order = np.argsort(names)
-    s = names[order]
-    first = np.concatenate([[True], s[1:] != s[:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    tied = ~(first & np.concatenate([first[1:], [True]]))
-    h = 1
-    while tied.any():
-        at = np.flatnonzero(tied)
-        items = order[at]
-        key = rank[items] * (n + 1) + np.where(items + h < n, rank[np.minimum(items + h, n - 1)] + 1, 0)
-        o = np.argsort(key)
-        items, key = items[o], key[o]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        order[at] = items
-        rank[items] = np.maximum.accumulate(np.where(first, at, 0))
-        tied[at] = ~(first & np.concatenate([first[1:], [True]]))
-        h *= 2
-    return order
+def _sorted_suffixes(t: np.ndarray, n_symbols: int) -> np.ndarray:
+    """Suffix array of a string of symbols below ``n_symbols``, all of which occur if there are as many as places.  The last symbol
+    is the only 0."""
+    if n_symbols == len(t):
+        out = np.empty(len(t), np.int64)
+        out[t] = np.arange(len(t))
+        return out
+    is_s = _types(t)
+    at_lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    # LMS substrings in order, each up to the next one's start, which it shares
+    place = np.zeros(len(t), np.int64)
+    place[at_lms] = np.arange(1, len(at_lms) + 1)
+    ranked = place[_induce(t, is_s, at_lms, n_symbols)]
+    ranked = ranked[ranked > 0] - 1
+    size = np.append(np.diff(at_lms) + 1, 1)[ranked]
+    pair = np.flatnonzero(size[1:] == size[:-1])
+    spans = size[pair]
+    offset = np.cumsum(spans) - spans
+    inside = np.arange(spans.sum()) - np.repeat(offset, spans)
+    alike = t[np.repeat(at_lms[ranked[pair]], spans) + inside] == t[np.repeat(at_lms[ranked[pair + 1]], spans) + inside]
+    new = np.ones(len(ranked), bool)
+    if len(pair):
+        new[pair + 1] = ~np.logical_and.reduceat(alike, offset)
+    name = np.empty(len(ranked), np.int64)
+    name[ranked] = np.cumsum(new) - 1
+    order = _sorted_suffixes(name, int(new.sum()))
+    return _induce(t, is_s, at_lms[order], n_symbols)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Suffix array of uint8 ``data``, without the empty suffix."""
-    n = len(data)
-    if n < 2:
-        return np.arange(n, dtype=np.int32)
-    t = np.zeros(n + 1, np.int16)
-    t[:-1] = data.astype(np.int16) + 1
-    is_s = _types(t)
-    at_lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]).astype(np.int32) + 1
-    sa = _induce(t, is_s, at_lms, 258)
-    mask = np.zeros(n + 1, bool)
-    mask[at_lms] = True
-    by_substring = sa[mask[sa]]
-    stop = np.full(n + 2, n + 1, np.int64)
-    stop[at_lms[:-1]] = at_lms[1:] + 1
-    length = np.minimum(stop[by_substring], n) - by_substring
-    size = stop[by_substring] - by_substring
-    most = np.minimum(length[:-1], length[1:])
-    same = (size[1:] == size[:-1]) & (_equal_runs(data, by_substring[:-1].astype(np.int64), by_substring[1:].astype(np.int64), most) == most)
-    same[(size[1:] != length[1:]) | (size[:-1] != length[:-1])] = False  # the end of the text is unlike any other
-    name = np.empty(n + 1, np.int64)
-    name[by_substring] = np.concatenate([[0], np.cumsum(~same)])
-    lms = at_lms[_sorted_reduced(name[at_lms])]
-    return _induce(t, is_s, lms, 258)[1:]
+    return _sorted_suffixes(np.append(data.astype(np.int64) + 1, 0), 257)[1:] if len(data) else np.zeros(0, np.int64)
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:

@@ -90,6 +90,23 @@ def test_suffix_arrays():
             assert plcp[c] == n
 
 
+def test_suffix_arrays_of_long_strings():
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 105, int(k)).astype(np.uint8)) for k in rng.integers(1, 9, 300)]
+    text = b" ".join(words[k] for k in rng.integers(0, 300, 12000))
+    fibonacci = [b"a", b"ab"]
+    while len(fibonacci[-1]) < 30000:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    for x in (text, text[:9000] * 4, b"a" * 40000, b"ab" * 20000, b"a" * 30000 + text, fibonacci[-1], bytes(range(255, -1, -1)) * 150):
+        d = np.frombuffer(x, np.uint8)
+        sa = suffix.suffix_array(d)
+        rank = np.full(len(d) + 1, -1)
+        rank[sa] = np.arange(len(d))
+        assert (np.sort(sa) == np.arange(len(d))).all()
+        a, b = sa[:-1], sa[1:]
+        assert ((d[a] < d[b]) | ((d[a] == d[b]) & (rank[a + 1] < rank[b + 1]))).all()
+
+
 def test_suffix(docs, texts, empty):
     for width in (400, 40):
         got = suffix.suffix_dedup(docs, width=width, report=30).collect()
