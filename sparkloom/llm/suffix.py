@@ -154,21 +154,13 @@ def _equal_runs(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray
     return np.minimum(length, most)
 
 
-def _sorted_suffixes(t: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Suffix array of a string of symbols below ``n_symbols``, all of which occur if there are as many as places.  The last symbol
-    is the only 0."""
-    if n_symbols == len(t):
-        out = np.empty(len(t), np.int64)
-        out[t] = np.arange(len(t))
-        return out
-    is_s = _types(t)
-    at_lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    # LMS substrings in order, each up to the next one's start, which it shares
+def _induced(t: np.ndarray, is_s: np.ndarray, at_lms: np.ndarray, size: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the LMS substrings in order, by induction, and where one differs from that before it."""
     place = np.zeros(len(t), np.int64)
     place[at_lms] = np.arange(1, len(at_lms) + 1)
     ranked = place[_induce(t, is_s, at_lms, n_symbols)]
     ranked = ranked[ranked > 0] - 1
-    size = np.append(np.diff(at_lms) + 1, 1)[ranked]
+    size = size[ranked]
     pair = np.flatnonzero(size[1:] == size[:-1])
     spans = size[pair]
     offset = np.cumsum(spans) - spans
@@ -177,6 +169,44 @@ def _sorted_suffixes(t: np.ndarray, n_symbols: int) -> np.ndarray:
     new = np.ones(len(ranked), bool)
     if len(pair):
         new[pair + 1] = ~np.logical_and.reduceat(alike, offset)
+    return ranked, new
+
+
+def _refined(t: np.ndarray, at_lms: np.ndarray, size: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_induced`` gives, for short substrings of many symbols: those that tie are sorted by a symbol more, in turn.
+
+    Where one is the beginning of another, the longer goes on downwards (or it would end there too) and comes first.
+    """
+    order, group = np.argsort(t[at_lms], kind="stable"), np.zeros(len(at_lms), np.int64)
+    at, key, more = np.arange(len(at_lms)), t[at_lms[order]], np.ones(len(at_lms), bool)
+    depth = 1
+    while len(at):
+        first = np.append(True, key[1:] != key[:-1])
+        group[at] = np.maximum.accumulate(np.where(first, at, 0))
+        tied = ~(first & np.append(first[1:], True)) & more
+        at = at[tied]
+        items = order[at]
+        more = depth < size[items]
+        symbol = np.where(more, t[np.minimum(at_lms[items] + depth, len(t) - 1)], n_symbols)
+        key = group[at] * (n_symbols + 1) + symbol
+        by = np.argsort(key, kind="stable")
+        order[at], key, more = items[by], key[by], more[by]
+        depth += 1
+    return order, group == np.arange(len(at_lms))
+
+
+def _sorted_suffixes(t: np.ndarray, n_symbols: int) -> np.ndarray:
+    """Suffix array of a string of symbols below ``n_symbols``, all of which occur if there are as many as places.  The last symbol
+    is the only 0."""
+    if n_symbols == len(t):
+        out = np.empty(len(t), np.int64)
+        out[t] = np.arange(len(t))
+        return out
+    is_s = _types(t)
+    at_lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    size = np.append(np.diff(at_lms) + 1, 1)  # of LMS substrings: each goes up to the next one's start, which it shares
+    short = 64 * n_symbols >= len(t) and size.max() <= 64
+    ranked, new = _refined(t, at_lms, size, n_symbols) if short else _induced(t, is_s, at_lms, size, n_symbols)
     name = np.empty(len(ranked), np.int64)
     name[ranked] = np.cumsum(new) - 1
     order = _sorted_suffixes(name, int(new.sum()))
@@ -354,9 +384,9 @@ def _judge_runs(pdf: pd.DataFrame, width: int, report: int) -> pd.DataFrame:
 
     for _, a, b in groups:
         members = order[a:b].tolist()
-        if len(members) == 1 and twice[members[0]]:
-            k = members[0]
-            most[k] = np.arange(len(texts[k]), len(texts[k]) - n_starts[k], -1)
+        if all(twice[k] for k in members):
+            for k in members:
+                most[k] = np.arange(len(texts[k]), len(texts[k]) - n_starts[k], -1)
             continue
         if held and size + sum(len(texts[k]) for k in members) > ARRAY_BYTES:
             sort_held()
