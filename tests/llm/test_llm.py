@@ -331,6 +331,42 @@ def test_embeddings(spark):
     assert embed.embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_over_many_chunks(spark, monkeypatch):
+    """Tiles write nothing but links: scratch tables and shuffles stay a small multiple of the vectors."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1200, 64))
+    x[300:360] = x[0] + 0.1 * rng.standard_normal((60, 64))  # cells of many near copies
+    x[360:500] = x[rng.integers(0, 300, 140)] + 0.3 * rng.standard_normal((140, 64))
+    x[500:520] = 3 * x[1]
+    x = np.float32(x).astype(float)
+    x[520:540] = x[2] * (1 + 1e-12 * np.arange(20)[:, None])  # single precision doesn't hold these
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(2000 + i, r.tolist()) for i, r in enumerate(x[:40, :7])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    monkeypatch.setattr(embed, "CHUNK", 100)
+    monkeypatch.setattr(embed, "STRIP", 64, raising=False)
+    monkeypatch.setattr(embed, "CELL", 8, raising=False)
+    plans, size = {}, {}
+
+    def stored(table, tag, *args):
+        plans[tag] = table._jdf.queryExecution().executedPlan().toString()
+        out = common.stored(table, tag, *args)
+        path = out._scratch_path.removeprefix("file:")
+        size[tag] = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path))
+        return out
+
+    monkeypatch.setattr(embed, "stored", stored)
+    got = {r.vec_id: r for r in embed.embedding_duplicates(df).collect()}
+    links = []
+    for first, v in ((0, x), (2000, x[:40, :7])):
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        links += [(first + i, first + j) for i, j in zip(*np.nonzero(v @ v.T >= 0.9)) if i != j]
+    comp, n = brute.groups([i for i, _ in rows], links), pd.Series([a for a, _ in links]).value_counts()
+    for i, _ in rows:
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (n.get(i, 0), comp[i], comp[i] == i), i
+    assert "CartesianProduct" in plans["embed-links"] and "Exchange" not in plans["embed-links"]
+    assert sum(size.values()) < 3 * 4 * x.size, size
+
+
 def labelled(n=400):
     rng = random.Random(8)
     syllables = ["ba", "co", "di", "fu", "ge", "li", "mo", "nu", "ra", "te"]
