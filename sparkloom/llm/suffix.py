@@ -8,7 +8,8 @@ Anchors decide what text meets in a shard: of the grams in a window of ``report`
 hash.  Equal windows have equal anchors, so a string can only repeat if its anchor is at two places.  A run
 is the windows in a row that share such an anchor, with the text that they and the strings of ``width``
 bytes from them cover; all runs of an anchor go to one shard.  There equal runs are one from the start, and
-the shard's suffix array and permuted LCP tell how far each start's text agrees with another start's.  A
+the shard's suffix array and permuted LCP tell how far each start's text agrees with another start's; starts
+before and after all those of a run whose windows' hashes occur twice repeat nothing, and stay out.  A
 block sends a run once, however often it holds it.  The runs of an anchor at HOT places or more would be too
 much for one shard: their strings are compared by 128-bit hashes, spread over the shards by the hash.
 """
@@ -205,7 +206,7 @@ def _sorted_suffixes(t: np.ndarray, n_symbols: int) -> np.ndarray:
     is_s = _types(t)
     at_lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     size = np.append(np.diff(at_lms) + 1, 1)  # of LMS substrings: each goes up to the next one's start, which it shares
-    short = 64 * n_symbols >= len(t) and size.max() <= 64
+    short = 64 * n_symbols >= len(t) and size.max() <= max(64, len(t) >> 6)  # a pass per symbol of the longest
     ranked, new = _refined(t, at_lms, size, n_symbols) if short else _induced(t, is_s, at_lms, size, n_symbols)
     name = np.empty(len(ranked), np.int64)
     name[ranked] = np.cumsum(new) - 1
@@ -372,21 +373,31 @@ def _judge_runs(pdf: pd.DataFrame, width: int, report: int) -> pd.DataFrame:
     texts = list(index)
     order = np.argsort(np.array(anchors, np.uint64), kind="stable")
     groups = slices(np.array(anchors, np.uint64)[order].view(np.int64))
-    most: list = [None] * len(texts)
+    ranges = [[np.zeros((0, 2), np.int64)] * len(texts) for _ in (width, report)]
     held: list[int] = []
     size = 0
 
+    def repeat_whole(members: list[int]) -> None:
+        for of, w in zip(ranges, (width, report)):
+            for k in members:
+                n = min(n_starts[k], len(texts[k]) - w + 1)
+                of[k] = np.array([[0, n - 1]] if n > 0 else np.zeros((0, 2)), np.int64)
+
     def sort_held() -> None:
-        got = agreements([texts[k] for k in held], [n_starts[k] for k in held])
-        for k, part in zip(held, np.split(got, np.cumsum([n_starts[k] for k in held])[:-1])):
-            # a run that is at two places repeats whole
-            most[k] = np.arange(len(texts[k]), len(texts[k]) - n_starts[k], -1) if twice[k] else part
+        cut = _repeating([texts[k] for k in held], [n_starts[k] for k in held], report)
+        if cut:
+            sizes = np.array([b - a + 1 for _, a, b in cut], np.int64)
+            got = agreements([texts[held[i]][a : b + width] for i, a, b in cut], sizes.tolist())
+            for of, w in zip(ranges, (width, report)):
+                found, n = _ranges(got >= w, sizes)
+                for (i, a, _), x in zip(cut, np.split(found, np.cumsum(n)[:-1])):
+                    of[held[i]] = x + a
+        repeat_whole([k for k in held if twice[k]])  # a run that is at two places
 
     for _, a, b in groups:
         members = order[a:b].tolist()
         if all(twice[k] for k in members):
-            for k in members:
-                most[k] = np.arange(len(texts[k]), len(texts[k]) - n_starts[k], -1)
+            repeat_whole(members)
             continue
         if held and size + sum(len(texts[k]) for k in members) > ARRAY_BYTES:
             sort_held()
@@ -395,7 +406,6 @@ def _judge_runs(pdf: pd.DataFrame, width: int, report: int) -> pd.DataFrame:
         size += sum(len(texts[k]) for k in members)
     if held:
         sort_held()
-    ranges = [[_ranges(m >= w) for m in most] for w in (width, report)]
     out = []
     for own in places:
         parts = []
@@ -407,10 +417,31 @@ def _judge_runs(pdf: pd.DataFrame, width: int, report: int) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"].to_numpy(), "part": _RUNS, "shard": pdf["shard"].to_numpy(), "n": pdf["n"].to_numpy(), "totals": out, "known": 0, "mass": 0})
 
 
-def _ranges(mask: np.ndarray) -> np.ndarray:
-    """(first, last) of the runs of a mask."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-    return np.stack([edges[::2], edges[1::2] - 1], axis=1)
+def _ranges(mask: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of the runs of a mask in parts of these sizes, counted from the part's start, and how many a part has."""
+    of, offset = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    edge = np.zeros(len(mask) + 1, bool)
+    edge[offset] = edge[-1] = True
+    first = np.flatnonzero(mask & (edge[:-1] | ~np.append(False, mask[:-1])))
+    last = np.flatnonzero(mask & (edge[1:] | ~np.append(mask[1:], False)))
+    return np.stack([first, last], axis=1) - offset[of[first]][:, None], np.bincount(of[first], minlength=len(sizes))
+
+
+def _repeating(texts: list[bytes], starts: list[int], width: int) -> list[tuple[int, int, int]]:
+    """What an array must hold: (text, first, last) of the starts whose strings of ``width`` bytes may be at two starts.
+
+    Equal strings have equal hashes, so no repeat is missed; the array tells which of these do repeat, and how far."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    lengths, n = np.array([len(t) for t in texts], np.int64), np.array(starts, np.int64)
+    of, offset = np.repeat(np.arange(len(texts)), n), np.cumsum(n) - n
+    place = np.arange(len(of)) - offset[of]
+    hashes = rolling(_BYTE[data], width)[(np.cumsum(lengths) - lengths)[of] + place]
+    order = np.argsort(hashes)
+    alike = np.diff(hashes[order]) == 0
+    again = np.zeros(len(of), bool)
+    again[order[1:][alike]] = again[order[:-1][alike]] = True
+    at = np.flatnonzero(again)
+    return [(k, int(place[at[a]]), int(place[at[b - 1]])) for k, a, b in slices(of[at])]
 
 
 def _covered(first: np.ndarray, last: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -452,29 +483,27 @@ def suffix_dedup(docs: DataFrame, width: int = 400, report: int = 256, hot: int
 
     def send(row, replies):
         _, _, data, ends = _text(row)
-        starts, least, grams = _anchors(data, ends, report)
-        keys, _ = _anchor_keys(starts, least, grams, report)
-        if not len(keys):
+        starts, least, _ = _anchors(data, ends, report)
+        if not len(starts):
             return []
-        del grams
-        kind = totals_of(replies)
-        name = mix(least[starts])
-        place = np.minimum(np.searchsorted(keys[:, 0], name), len(keys) - 1)
-        kind = np.where(keys[place, 0] == name, kind[place], 0)
-        many, at = starts[kind == 2], starts[kind == 1]
+        # windows in a row with the same anchor are of one kind; the anchors are those that were asked for
+        cuts = np.flatnonzero((np.diff(starts) > 1) | (least[starts[1:]] != least[starts[:-1]])) + 1
+        first, last = starts[np.concatenate([[0], cuts])], starts[np.concatenate([cuts - 1, [len(starts) - 1]])]
+        name = mix(least[first])
+        kind = totals_of(replies)[distinct(name[:, None])[1]]
+        a, b = first[kind == 2], last[kind == 2]
+        many = np.repeat(a - (np.cumsum(b - a + 1) - (b - a + 1)), b - a + 1) + np.arange((b - a + 1).sum())
+        first, last, name = first[kind == 1], last[kind == 1], name[kind == 1]
         index: dict[bytes, int] = {}
-        run_of, found, n_starts, first = [], [], [], np.zeros(0, np.int64)
-        if len(at):
-            cuts = np.flatnonzero((np.diff(at) > 1) | (least[at[1:]] != least[at[:-1]])) + 1
-            first, last = at[np.concatenate([[0], cuts])], at[np.concatenate([cuts - 1, [len(at) - 1]])]
-            raw = data.tobytes()
-            for a, b, stop, anchor in zip(first.tolist(), last.tolist(), ends[first].tolist(), mix(least[first]).tolist()):
-                text = raw[a : min(b + width, stop)]
-                k = index.setdefault(text, len(index))
-                if k == len(found):
-                    found.append(anchor)
-                    n_starts.append(b - a + 1)
-                run_of.append(k)
+        run_of, found, n_starts = [], [], []
+        raw = data.tobytes()
+        for a, b, stop, anchor in zip(first.tolist(), last.tolist(), ends[first].tolist(), name.tolist()):
+            text = raw[a : min(b + width, stop)]
+            k = index.setdefault(text, len(index))
+            if k == len(found):
+                found.append(anchor)
+                n_starts.append(b - a + 1)
+            run_of.append(k)
         texts, found = list(index), np.array(found, np.uint64)
         order = np.argsort(found, kind="stable")
         rank = np.empty(len(order), np.int64)

@@ -116,6 +116,27 @@ def test_suffix(docs, texts, empty):
     assert suffix.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_arrays_hold_what_repeats():
+    """Runs that share an anchor but no window of ``report`` bytes stay out of the arrays; so do the ends of those that do."""
+    rng = np.random.default_rng(4)
+    text = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    passage, longer = text(100), text(300)
+    runs = [text(150) + passage + text(150) for _ in range(40)]
+    runs += [text(50) + longer + text(50) for _ in range(3)] + [runs[0][:390] + b"?", longer]
+    starts = [len(r) - 199 for r in runs]
+    cut = suffix._repeating(runs, starts, 200)
+    assert {k for k, _, _ in cut} == {0, 40, 41, 42, 43, 44}
+    assert sum(len(runs[k][a : b + 400]) for k, a, b in cut) < sum(map(len, runs)) / 5
+    want = [[sum(r[p : p + 200] == q[x : x + 200] for q in runs for x in range(len(q) - 199)) > 1 for p in range(len(r) - 199)] for r in runs]
+    got = [[False] * n for n in starts]
+    for k, a, b in cut:
+        got[k][a : b + 1] = [True] * (b + 1 - a)
+    assert got == want  # what repeats is in one piece a run here
+    sizes = np.array([len(x) for x in want])
+    found, n = suffix._ranges(np.concatenate(want), sizes)
+    assert n.tolist() == [int(any(x)) for x in want] and found.tolist() == [[a, b] for _, a, b in cut]
+
+
 def test_suffix_over_many_blocks(spark, docs, texts, monkeypatch):
     # blocks of a document or two: what repeats does so across blocks, and arrays find it
     monkeypatch.setattr(suffix, "BLOCK_BYTES", 500)
