@@ -387,7 +387,9 @@ def _judge_runs(pdf: pd.DataFrame, width: int, report: int) -> pd.DataFrame:
         cut = _repeating([texts[k] for k in held], [n_starts[k] for k in held], report)
         if cut:
             sizes = np.array([b - a + 1 for _, a, b in cut], np.int64)
-            got = agreements([texts[held[i]][a : b + width] for i, a, b in cut], sizes.tolist())
+            # the strings of ``width`` bytes that may repeat, and those of ``report`` bytes
+            far = {i: b + width for i, _, b in _repeating([texts[k] for k in held], [max(0, min(n_starts[k], len(texts[k]) - width + 1)) for k in held], width)}
+            got = agreements([texts[held[i]][a : max(b + report, far.get(i, 0))] for i, a, b in cut], sizes.tolist())
             for of, w in zip(ranges, (width, report)):
                 found, n = _ranges(got >= w, sizes)
                 for (i, a, _), x in zip(cut, np.split(found, np.cumsum(n)[:-1])):
