@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,43 @@ def test_recall_of_the_index_queries(spark):
     assert {r.kind for r in entry.queries()["vec_recall"](spark, folder).collect() if r.recall >= 0.9} == {"ivf", "ivfpq", "lsh"}
 
 
+def test_neighbours_in_stripes_of_chunks(spark, monkeypatch):
+    """A query keeps a list for each stripe, not for each chunk; equal vectors go by their ids."""
+    for name, size in (("CHUNK", 16), ("STRIPE", 4), ("STRIP", 8)):
+        monkeypatch.setattr(vector, name, size)
+    x = np.random.default_rng(0).standard_normal((300, 6))
+    x[100:160] = x[0]
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for metric in ("euclidean", "cosine", "dot", "manhattan"):
+        found = vector.neighbours_of_queries(t, t.filter("vec_id < 40"), 5, metric, block=16)
+        far = vector._paired(np.repeat(x[:40], 300, 0), np.tile(x, (40, 1)), metric).reshape(40, 300)
+        want = [[i, *[int(j) for j in np.lexsort((np.arange(300), row)) if j != i][:5]] for i, row in enumerate(far)]
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, [r.query_id]).append(r.vec_id)
+        assert [got[i] for i in range(40)] == want, metric
+    ivf = vector.IVF(t, n_lists=4, sub_quantizers=2)
+    own = (2 * x @ ivf.centres.T - (ivf.centres**2).sum(1)).argmax(1)
+    code = sum(((b**2).sum(1) - 2 * y[:40] @ b.T + (y[:40] ** 2).sum(1, keepdims=True))[:, (2 * y @ b.T - (b**2).sum(1)).argmax(1)] for b, y in zip(ivf.books, np.array_split(x, 2, axis=1)))
+    far = vector._paired(np.repeat(x[:40], 300, 0), np.tile(x, (40, 1)), "euclidean").reshape(40, 300)
+    found = {(r.query_id, r["rank"]): r.vec_id for r in ivf.knn_of_queries(t.filter("vec_id < 40"), 5, n_probe=2, refine=4).collect()}
+    for i in range(40):
+        in_lists = [j for j in range(300) if j != i and own[j] in ivf.probes(x[i], 2)]
+        best = sorted(sorted(in_lists, key=lambda j: (code[i, j], j))[:20], key=lambda j: (far[i, j], j))[:5]
+        assert [found[i, n + 1] for n in range(len(best))] == best
+    lists = spark.sparkContext.accumulator(0)
+
+    class Counted(vector._Best):
+        def rows(self):
+            for out in super().rows():
+                lists.add(len(out[0]))
+                yield out
+
+    monkeypatch.setattr(vector, "_Best", Counted)
+    vector.neighbours_of_queries(t, t.filter("vec_id < 40"), 5, block=64).collect()
+    assert 0 < lists.value <= 40 * 5 * 5  # of 19 chunks, in five stripes
+
+
 def test_space(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 15.0, 5.0)], "id long, lat double, lon double")
     assert {r.id: r.distance for r in spatial.query_knn(p, (0, 0), 2).collect()} == {1: 0.0, 2: 5.0}
