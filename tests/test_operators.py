@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 
 from sparkloom.functions import keys
-from sparkloom.operators import catalog, embedding, filters, graph, index, kv, mvcc, spatial, text, vector
+from sparkloom.operators import catalog, embedding, filters, graph, index, kv, mvcc, spatial, store, text, vector
 from sparkloom.operators.kv import KeyRange
 from sparkloom.operators.text import Tokenizer
 from sparkloom.plans import front
@@ -242,6 +242,18 @@ def test_neighbours_in_stripes_of_chunks(spark, monkeypatch):
     assert 0 < lists.value <= 40 * 5 * 5  # of 19 chunks, in five stripes
 
 
+def test_common_principals_are_not_shuffled_by_name(spark):
+    """Writes of a principal that has most of them stay spread; rare and unknown principals are judged all the same."""
+    who = F.when(F.col("id") == 7, "rare").when(F.col("id") == 8, "unknown").when(F.col("id") % 4 == 0, "reader").otherwise("writer")
+    writes = spark.range(0, 8000, 1, 8).select(F.col("id").alias("seq"), who.alias("principal"), F.lit("put").alias("op"), F.when(F.col("id") % 5 == 0, "").otherwise("k").alias("k"), F.lit("v").alias("v"))
+    grants = spark.createDataFrame([("writer", "write", "/a"), ("rare", "write", "/"), ("reader", "read", "/a")], "principal string, permission string, scope string")
+    judged = store.outcomes(writes, grants, spark.createDataFrame([("write", "read")], "permission string, implies string"), "/a/b")
+    want = {i: "denied" if i == 8 or (i % 4 == 0 and i != 7) else "invalid" if i % 5 == 0 else "ok" for i in range(8000)}
+    assert {r.seq: r.status for r in judged.collect()} == want
+    most = judged.filter("principal = 'writer'").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most <= 1000  # of 6000
+
+
 def test_space(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 15.0, 5.0)], "id long, lat double, lon double")
     assert {r.id: r.distance for r in spatial.query_knn(p, (0, 0), 2).collect()} == {1: 0.0, 2: 5.0}
