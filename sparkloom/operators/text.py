@@ -66,11 +66,54 @@ def _stem(t: str) -> str:
 
 
 def postings(docs: DataFrame, tok: Tokenizer = Tokenizer(), id_col: str = "doc_id", text_col: str = "text", terms: list[str] | None = None) -> DataFrame:
-    """(term, id, positions, tf); only the given terms, where some are."""
-    rows = docs.select(id_col, F.posexplode(tok.column(F.col(text_col))).alias("pos", "term"))
-    if terms is not None:
-        rows = rows.filter(F.col("term").isin(*terms))
-    return rows.groupBy("term", id_col).agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
+    """(term, id, positions, tf); only the given terms, where some are.
+
+    A document's entries are made where it is, so nothing is shuffled unless several rows have one id.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    wanted = None if terms is None else list(dict.fromkeys(terms))
+
+    def entries(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            for a, b in _spans(pc.list_value_length(lists).to_numpy(zero_copy_only=False)):
+                part = lists.slice(a, b - a)
+                n = pc.list_value_length(part).to_numpy(zero_copy_only=False)
+                words = part.flatten().dictionary_encode()
+                doc = np.repeat(np.arange(b - a), n)
+                pos = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                if wanted is not None:
+                    own = np.flatnonzero(np.isin(code, np.flatnonzero(pc.is_in(words.dictionary, pa.array(wanted, words.dictionary.type)).to_numpy(zero_copy_only=False))))
+                    doc, pos, code = doc[own], pos[own], code[own]
+                key = doc * max(1, len(words.dictionary)) + code
+                at = np.argsort(key, kind="stable")  # positions stay in order
+                starts = np.flatnonzero(np.diff(key[at], prepend=-1))
+                if len(starts):
+                    tf = np.diff(starts, append=len(at))
+                    positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)).astype(np.int32)), pa.array(pos[at].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[at[starts]])), batch.column(0).slice(a, b - a).take(pa.array(doc[at[starts]])), positions, pa.array(tf.astype(np.int64))], ["term", id_col, "positions", "tf"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = docs.select(id_col, tok.column(F.col(text_col)).alias("_tokens")).mapInArrow(entries, f"term string, `{id_col}` {kind}, positions array<int>, tf bigint")
+    if docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return made
+    return made.groupBy("term", id_col).agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.sum("tf").alias("tf"))
+
+
+def _spans(sizes, limit: int = 1_000_000):
+    """(from, to) of rows that have ``limit`` tokens together, or are one."""
+    a = held = 0
+    for b, n in enumerate(sizes):
+        if held and held + n > limit:
+            yield a, b
+            a, held = b, 0
+        held += n
+    if len(sizes):
+        yield a, len(sizes)
 
 
 def term_stats(docs: DataFrame, terms: list[str] | None = None, tok: Tokenizer = Tokenizer(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -174,6 +174,18 @@ def test_postings_of_the_whole_vocabulary():
     assert {"txt_postings", "txt_postings_all"} <= entry.queries().keys() and " IN (" not in entry.oracle_sql()["txt_postings_all"]
 
 
+def test_postings_need_no_shuffle(spark):
+    rows = [(1, "b a b"), (2, None), (3, ""), (4, "a, A  c"), (5, "...")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    p = text.postings(df)
+    assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in p.collect()) == [("a", 1, [1], 1), ("a", 4, [0, 1], 2), ("b", 1, [0, 2], 2), ("c", 4, [2], 1)]
+    assert sorted(tuple(r) for r in text.postings(df, terms=["c", "zz", "c"]).collect()) == [("c", 4, [2], 1)]
+    twice = text.postings(df.union(df.filter("doc_id = 4")))
+    assert sorted(tuple(r) for r in twice.filter("doc_id = 4").collect()) == [("a", 4, [0, 0, 1, 1], 4), ("c", 4, [2, 2], 2)]
+    assert list(text._spans([3, 3, 9, 1, 1], 5)) == [(0, 1), (1, 2), (2, 3), (3, 5)] and list(text._spans([])) == []
+
+
 def test_stemming(spark):
     words = ["running", "king", "jumped", "red", "cats", "gas", "és", "ings", "sing"]
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.stem(F.col("w")).alias("s"))
