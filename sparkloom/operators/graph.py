@@ -59,7 +59,9 @@ def put_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
 
 def put_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
     """Edges created, or replaced where (src, dst, type) exists; an edge needs both its nodes, others are left out."""
-    ids = nodes.select("id").distinct()
+    # only the ids that the new edges name: the nodes are filtered where they are, if those are few
+    named = new.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    ids = nodes.select("id").join(named, "id", "left_semi").distinct()
     sound = new.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
     return edges.join(sound.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti").unionByName(sound.select(*edges.columns))
 
